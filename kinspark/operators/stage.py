@@ -8,6 +8,7 @@ there survives the loss of any executor, and its size is known to the planner.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -36,15 +37,18 @@ class Stage:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/kinspark-{uuid.uuid4().hex}"
-        self.at: dict[int, str] = {}
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
+        """``release``: also let Spark delete the shuffle files that only ``df`` needed."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         schema = df.schema
         df.write.parquet(path)
         back = self.spark.read.schema(schema).parquet(path)
-        self.at[id(back)] = path
         back._kinspark_path = path
+        if release:
+            del df
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return back
 
     def drop(self, df: DataFrame) -> None:
