@@ -38,11 +38,11 @@ class Stage:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/kinspark-{uuid.uuid4().hex}"
 
-    def put(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    def put(self, df: DataFrame, name: str, release: bool = False, compression: str = "snappy") -> DataFrame:
         """``release``: also let Spark delete the shuffle files that only ``df`` needed."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         schema = df.schema
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         back = self.spark.read.schema(schema).parquet(path)
         back._kinspark_path = path
         if release:
