@@ -4,8 +4,8 @@ A text is the multiset of its blank-separated words; element (word, i) is the i-
 occurrence of a word, so multisets are sets of elements. Two texts match when both have at
 least ``min_words`` words and share at least ``share`` of the longer one's.
 
-1. Texts with equal multisets are one class; all later steps work on classes, so copies
-   cost nothing however many there are.
+1. Texts with equal multisets are one class, named by a 63-bit number (a sum of hashes and
+   the length); all later steps work on classes, so copies cost nothing however many.
 2. Every element has one 64-bit hash u; its rank is -ln(u) / w, w the bits of its rarity
    (a weighted bottom-k sketch). A text's sketch is its ``k`` smallest ranks among elements
    found in at most a quarter of the texts. Inverted lists are kept for runs of
@@ -15,7 +15,7 @@ least ``min_words`` words and share at least ``share`` of the longer one's.
    other. (Texts that consist of the commonest words only use those.)
 3. Texts that meet in a list are candidates; the number of lists is their overlap.
 4. The sketch of the union estimates the resemblance and drops hopeless candidates (five
-   standard errors below the least Jaccard that the share allows), then words are counted.
+   standard errors below half), then words are counted with repeats.
 
 Document frequencies are exact counts over all texts. Only elements in at least ``HEAVY``
 of the texts are sent to the driver: at most (mean words per text) / HEAVY of them exist,
@@ -27,7 +27,6 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -41,6 +40,7 @@ from pyspark.sql import functions as F
 from ..operators.stage import Stage
 
 HEAVY = 0.002
+LAST = 1e30  # above every rank
 COMMON = 2.0  # bits: found in more than a quarter of the texts
 MASK = (1 << 48) - 1
 
@@ -51,7 +51,10 @@ class Elements:
     def __init__(self) -> None:
         self.known: dict = {}
 
-    def of(self, words: list[str]) -> list[int]:
+    def hash_of(self, w: str, c: int) -> int:
+        return xxhash.xxh64_intdigest(w, c) >> 1
+
+    def of(self, words: list[str]) -> list:
         known, seen, out = self.known, {}, []
         if len(known) > 500_000:
             known.clear()
@@ -61,53 +64,61 @@ class Elements:
             key = (w, c) if c else w
             h = known.get(key)
             if h is None:
-                h = known[key] = xxhash.xxh64_intdigest(w, c) >> 1
+                h = known[key] = self.hash_of(w, c)
             out.append(h)
         return out
 
 
-class Sketcher:
+def class_of(elements: list[int]) -> int:
+    """One number for equal multisets: 55 bits of the sum of the elements' hashes, then the length (up to 255) in 8 bits."""
+    return (sum(elements) * 0x9E3779B97F4A7C15 >> 9 & (1 << 55) - 1) << 8 | min(len(elements), 255)
+
+
+class Sketcher(Elements):
     """Weighted bottom-k sketches and the keys of their runs.
 
     ``bits`` holds the rarity of the elements that are not ``rare``; ``need`` is the rarity of a run.
     """
 
     def __init__(self, k: int, bits: dict[int, float], rare: float, need: float):
+        super().__init__()
         self.k, self.bits, self.rare, self.need = k, bits, rare, need
-        self.elements, self.ranks = Elements(), {}
-
-    def sketch(self, words: list[str]) -> list[int]:
-        found, ranks = self.elements.of(words), self.ranks
-        if len(ranks) > 500_000:
-            ranks.clear()
-        for h in found:
-            if h not in ranks:
-                w = self.bits.get(h, self.rare)
-                ranks[h] = -math.log((h + 1) / 2.0**63) / w if w >= COMMON else None
-        some = [h for h in found if ranks[h] is not None]
-        if len(some) >= min(self.k, len(found)) // 4:
-            return sorted(some, key=ranks.__getitem__)[: self.k]
-        return sorted(found)[: 4 * self.k]
-
-    def keys(self, words: list[str]) -> set[int]:
-        s, out, end, have = self.sketch(words), set(), 0, 0.0
-        weight = [self.bits.get(h, self.rare) for h in s]
-        for start in range(len(s)):
-            while have < self.need and end < len(s):
-                have += weight[end]
+
+    def hash_of(self, w: str, c: int) -> tuple[float, int, float]:
+        """(rank, hash, weight); the common ones rank last."""
+        h = super().hash_of(w, c)
+        weight = self.bits.get(h, self.rare)
+        return (-math.log((h + 1) / 2.0**63) / weight if weight >= COMMON else LAST + h, h, weight)
+
+    def keys(self, words: list[str]) -> list[int]:
+        s = sorted(self.of(words))[: self.k]
+        if s and s[-1][0] >= LAST:
+            s = [x for x in s if x[0] < LAST or len(s) < self.k // 4]
+        out, end, have, need = [], 0, 0.0, self.need
+        ids = tuple([x[1] for x in s])
+        for start, x in enumerate(s):
+            while have < need and end < len(s):
+                have += s[end][2]
                 end += 1
-            if have < self.need:
+            if have < need:
                 break
-            out.add(hash(tuple(s[start:end])) & MASK)  # of ints: the same in every process
-            have -= weight[start]
+            out.append(hash(ids[start:end]) & MASK)  # of ints: the same in every process
+            have -= x[2]
         return out
 
 
-def _classes(texts: DataFrame, min_words: int) -> DataFrame:
-    """cid, id, text of each text with enough words; cid is one hash of the sorted words."""
-    words = F.array_sort(F.filter(F.split("text", " +"), lambda w: w != ""))
-    t = texts.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", "text", words.alias("_w"))
-    return t.where(F.size("_w") >= min_words).select(F.xxhash64(F.concat_ws(" ", "_w"), F.size("_w")).alias("cid"), "id", "text")
+def _classes(min_words: int):
+    """(id, text) to (cid, id, text) of each text with enough words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        elements = Elements()
+        for b in batches:
+            found = [elements.of(t.split()) for t in b.column(1).to_pylist()]
+            keep = pa.array([len(e) >= min_words for e in found], pa.bool_())
+            cid = pa.array([class_of(e) for e in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([cid, b.column(0), b.column(1)], names=["cid", "id", "text"]).filter(keep)
+
+    return run
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,16 +141,21 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keys_of(k: int, bits: dict[int, float], rare: float, need: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher(k, bits, rare, need)
+        sketcher, seen = Sketcher(k, bits, rare, need), set()
         for b in batches:
             keys: list[int] = []
-            counts = []
-            for t in b.column(1).to_pylist():
+            cids, counts = [], []
+            for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if c in seen:  # a copy: once per task is enough
+                    continue
+                seen.add(c)
                 found = sketcher.keys(t.split())
                 keys.extend(found)
+                cids.append(c)
                 counts.append(len(found))
-            cid = np.repeat(b.column(0).to_numpy(), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(cid, pa.int64())], names=["key", "cid"])
+            if len(seen) > 2_000_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.repeat(np.array(cids, np.int64), counts))], names=["key", "cid"])
 
     return run
 
@@ -181,12 +197,16 @@ def pairs_in_sorted_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         last, members = keys[-1], ids[bounds[-2] :].copy()
 
 
-def _verify(k: int, share_5: tuple[int, int]):
-    top, bottom = share_5
-    least = (top / bottom) / (2 - top / bottom)  # of the Jaccard similarity
+def _estimate(u: list[str], v: list[str], k: int) -> tuple[int, int]:
+    """Size of the union's sketch and how much of it both have. The hash is the process's own; both texts are here."""
+    x, y = sorted(map(hash, set(u)))[:k], sorted(map(hash, set(v)))[:k]
+    both = set(x).intersection(y)
+    union = sorted(both.union(x, y))[:k]
+    return len(union), sum(h in both for h in union)
+
 
+def _verify(k: int, top: int, bottom: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        elements = Elements()
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
@@ -194,12 +214,10 @@ def _verify(k: int, share_5: tuple[int, int]):
                 longer = max(len(u), len(v))
                 ok = min(len(u), len(v)) * bottom >= top * longer
                 if ok:
-                    u, v = set(elements.of(u)), set(elements.of(v))
-                    union = heapq.nsmallest(k, u | v) if len(u) + len(v) > 4 * k else ()
-                    n = len(union)
-                    both = sum(h in u and h in v for h in union)
-                    ok = not n or both / n >= least - 5 * math.sqrt(least * (1 - least) / n)
-                    ok = ok and len(u & v) * bottom >= top * longer
+                    n, both = _estimate(u, v, k)
+                    # Half of the expected share at the least, less five standard errors: only hopeless pairs fall.
+                    ok = both / n >= 0.5 - 2.5 / math.sqrt(n)
+                    ok = ok and sum((Counter(u) & Counter(v)).values()) * bottom >= top * longer
                 keep.append(ok)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -213,34 +231,36 @@ class NearDuplicates:
         self.members, self.links = members, links
 
 
-def near_duplicates(texts: DataFrame, *, min_words: int = 20, share: tuple[int, int] = (4, 5), k: int = 40, slack: float = 2.0) -> NearDuplicates:
+def near_duplicates(texts: DataFrame, *, min_words: int = 20, share: tuple[int, int] = (4, 5), k: int = 40, slack: float = 3.0) -> NearDuplicates:
     """Classes and links of ``texts`` (id, text); ids need not be unique, rows may repeat.
 
     ``share`` is a fraction of integers, so that the boundary is exact. ``k`` and ``slack``
     trade the work for the chance that a pair on the boundary has no run in common (below
     1 in 500 there, falling fast above it).
     """
-    spark = texts.sparkSession
-    stage = Stage(spark)
-    classes = _classes(texts.select("id", "text"), min_words)
-    counts = classes.select("text").mapInArrow(_frequencies, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    total = F.max(F.when(F.col("h") == -1, F.col("n")))
-    counts = stage.put(counts, "frequencies")
-    n = counts.agg(total.alias("n")).first()["n"] or 0
+    top, bottom = share
+    stage = Stage(texts.sparkSession)
+    usable = texts.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", "text")
+    classes = stage.put(usable.mapInArrow(_classes(min_words), usable.select(F.lit(0).cast("long").alias("cid"), "id", "text").schema), "texts", compression="zstd")
+    counts = stage.put(classes.select("text").mapInArrow(_frequencies, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequencies")
+    n = counts.where("h = -1").agg(F.sum("n").alias("n")).first()["n"] or 0
     heavy = counts.where((F.col("h") != -1) & (F.col("n") >= max(2.0, HEAVY * n))).collect()  # at most mean length / HEAVY rows
     bits = {r["h"]: math.log2(max(n, 2) / r["n"]) for r in heavy}
     rare, need = -math.log2(HEAVY), math.log2(max(n, 2)) + slack
     stage.drop(counts)
 
-    lists = classes.select("cid", "text").mapInArrow(_keys_of(k, bits, rare, need), "key long, cid long").distinct()
+    lists = classes.select("cid", "text").mapInArrow(_keys_of(k, bits, rare, need), "key long, cid long")
     lists = lists.repartition("key").sortWithinPartitions("key", "cid")
-    candidates = lists.mapInArrow(pairs_in_sorted_lists, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("overlap"))
+    # The lengths are in the lowest 8 bits of the class numbers; 255 stands for any greater length as well.
+    size = lambda c: F.col(c).bitwiseAND(F.lit(255))
+    close = (F.least(size("a"), size("b")) * bottom >= F.greatest(size("a"), size("b")) * top) | (F.greatest(size("a"), size("b")) == 255)
+    candidates = lists.mapInArrow(pairs_in_sorted_lists, "a long, b long").where(close).groupBy("a", "b").agg(F.count("*").alias("overlap"))
     candidates = stage.put(candidates, "candidates", release=True).select("a", "b")
 
-    text_of = classes.groupBy("cid").agg(F.min("text").alias("text"))
+    text_of = classes.select("cid", "text").dropDuplicates(["cid"])
     both = candidates.join(text_of.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a")
     both = both.join(text_of.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    links = stage.put(both.mapInArrow(_verify(k, share), "a long, b long"), "links", release=True)
+    links = stage.put(both.mapInArrow(_verify(k, top, bottom), "a long, b long"), "links", release=True)
     return NearDuplicates(classes.select("cid", "id").distinct(), links)
 
 
