@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import records, table
+from ..functions.timestamps import listing_instants
+from ..sources.tables import PAIR_ATTRIBUTES, records, table
+from .components import connected_groups
+from .leakage import leaked
 from .near_duplicates import link_counts, linked_pairs, near_duplicates
+from .survivors import survivors
+
+#: Prices outside these bounds count as missing (fixed values).
+PRICE_BOUNDS = (100, 1_000_000)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every listing that stands in an accepted pair with another."""
+    pairs = table(spark, sf_dir, "test_candidates").where("pred = 1").select("id_A", "id_B")
+    return connected_groups(pairs, "id_A", "id_B")
 
 
 def _descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,4 +37,37 @@ def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_counts(near_duplicates(_descriptions(spark, sf_dir))).select(F.col("id").alias("rec_id"), "class_id", "n_links")
 
 
-QUERIES = {"p2_found": p2_found, "p2_links": p2_links}
+def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = [a for a in PAIR_ATTRIBUTES if a != "location"]
+    cleaned = records(spark, sf_dir, "vin", "location", *fields, name="cleaned_dataset")
+    dated = listing_instants(cleaned, table(spark, sf_dir, "location_zones"), ["rec_id", "vin", "location", *fields])
+    usable = {a: (F.trim(F.col(a)) != "") if kind == "string" else F.col(a).isNotNull() for a, kind in dated.dtypes if a in PAIR_ATTRIBUTES}
+    usable["price"] = F.col("price").between(*PRICE_BOUNDS)
+    source = F.when(F.col("rec_id").startswith("S2_"), 1).otherwise(0)
+    return survivors(dated, "vin", "rec_id", "utc_second", usable, source).where("several")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of a VIN that is strictly the latest and strictly the fullest of several."""
+    return _survivors(spark, sf_dir).where("latest_alone and fullest_alone and latest = fullest").select("vin", F.col("latest").alias("rec_id"))
+
+
+def p7_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record per VIN with several, built field by field."""
+    return _survivors(spark, sf_dir).drop("several")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items of which they hold 13 consecutive words or more."""
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each leaked item the number of documents and the longest passage."""
+    found = leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("n_words").alias("longest_words"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p2_found": p2_found, "p2_links": p2_links, "p7_found": p7_found, "p7_survivors": p7_survivors, "p9_found": p9_found, "p9_items": p9_items,
+}
