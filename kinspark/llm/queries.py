@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.timestamps import listing_instants
 from ..sources.tables import PAIR_ATTRIBUTES, records, table
+from .canonical import canonical_entries
 from .components import connected_groups
 from .leakage import leaked
+from .line_labels import page_shares
 from .near_duplicates import link_counts, linked_pairs, near_duplicates
+from .packing import pack
+from .split_overlap import overlapping_texts
 from .survivors import survivors
 
 #: Prices outside these bounds count as missing (fixed values).
@@ -37,6 +41,56 @@ def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_counts(near_duplicates(_descriptions(spark, sf_dir))).select(F.col("id").alias("rec_id"), "class_id", "n_links")
 
 
+#: The fields that the reference list covers (fixed values).
+REFERENCE_FIELDS = ["manufacturer", "model", "main_color"]
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_entries(records(spark, sf_dir, *REFERENCE_FIELDS), table(spark, sf_dir, "reference_values"), REFERENCE_FIELDS)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference entry of each value that isn't literally canonical, 0 if none is meant."""
+    return _entries(spark, sf_dir).select("rec_id", "field_name", "ref_id")
+
+
+def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values for which the reference list has no entry, with the number of listings."""
+    return _entries(spark, sf_dir).where("ref_id = 0").groupBy("field_name", "value").agg(F.count("*").alias("n_listings"))
+
+
+def _split_ends(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
+    """id (trimmed) and text of both records of each pair of a split."""
+    ends = [F.struct(F.regexp_replace(f"id_{x}", r"^\s+|\s+$", "").alias("id"), F.col(f"description_{x}").alias("text")) for x in "AB"]
+    return table(spark, sf_dir, split).select(F.inline(F.array(*ends))).where("id <> ''")
+
+
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """split_name, source_name, rec_id, same_id, coverage (null without a similar text)."""
+    train = _split_ends(spark, sf_dir, "train")
+    held = _split_ends(spark, sf_dir, "val").withColumn("split_name", F.lit("val")).unionByName(_split_ends(spark, sf_dir, "test").withColumn("split_name", F.lit("test")))
+    members, found = overlapping_texts(held.select("id", "text"), train)
+    similar = members.join(found.groupBy(F.col("eval_cid").alias("cid")).agg(F.max("coverage").alias("coverage")), "cid").groupBy("id").agg(F.max("coverage").alias("coverage"))
+    ids = held.select("split_name", "id").distinct()
+    same = train.select("id").distinct().withColumn("same_id", F.lit(True))
+    out = ids.join(same, "id", "left").join(similar, "id", "left").where("same_id or coverage is not null")
+    source = F.when(F.col("id").startswith("S2_"), "used_cars").otherwise("vehicles")
+    return out.select("split_name", source.alias("source_name"), F.col("id").alias("rec_id"), F.coalesce("same_id", F.lit(False)).alias("same_id"), "coverage")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of val and test that also stand in train, by id or by almost the same description."""
+    return _overlaps(spark, sf_dir).select("split_name", "source_name", "rec_id")
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split and source: overlapping records, how many by id and by text, and the mean coverage of the latter."""
+    by_text = F.col("coverage").isNotNull()
+    return _overlaps(spark, sf_dir).groupBy("split_name", "source_name").agg(
+        F.count("*").alias("n_records"), F.count_if("same_id").alias("n_same_id"), F.count_if(by_text).alias("n_similar_text"), F.round(F.avg("coverage"), 4).alias("mean_coverage")
+    )
+
+
 def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [a for a in PAIR_ATTRIBUTES if a != "location"]
     cleaned = records(spark, sf_dir, "vin", "location", *fields, name="cleaned_dataset")
@@ -68,6 +122,33 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("n_words").alias("longest_words"))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_sizes"))
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every text, for each capacity."""
+    return _packed(spark, sf_dir)
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: containers, tokens and the share of the space that is used."""
+    bins = _packed(spark, sf_dir).groupBy("container_id").agg(F.count_distinct("bin_id").alias("n_bins"), F.sum("n_tokens").alias("n_tokens"))
+    sizes = table(spark, sf_dir, "container_sizes").select("container_id", "capacity_tokens").distinct()
+    return bins.join(sizes, "container_id").withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_bins") * F.col("capacity_tokens")), 6))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are mostly keyword lists, link lists or tags."""
+    return page_shares(table(spark, sf_dir, "documents")).where("flagged").select("doc_id")
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its words and those in lines that are not prose."""
+    return page_shares(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    "p1_found": p1_found, "p2_found": p2_found, "p2_links": p2_links, "p7_found": p7_found, "p7_survivors": p7_survivors, "p9_found": p9_found, "p9_items": p9_items,
+    "p1_found": p1_found, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_report": p5_report,
+    "p7_found": p7_found, "p7_survivors": p7_survivors, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_shares": p10_shares,
 }
