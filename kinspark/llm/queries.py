@@ -9,6 +9,7 @@ from ..functions.timestamps import listing_instants
 from ..sources.tables import PAIR_ATTRIBUTES, records, table
 from .canonical import canonical_entries
 from .components import connected_groups
+from .entity_match import match_sources
 from .leakage import leaked
 from .line_labels import page_shares
 from .near_duplicates import link_counts, linked_pairs, near_duplicates
@@ -41,6 +42,20 @@ def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_counts(near_duplicates(_descriptions(spark, sf_dir))).select(F.col("id").alias("rec_id"), "class_id", "n_links")
 
 
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_sources(table(spark, sf_dir, "mediated_schema_normalized"), table(spark, sf_dir, "reference_values"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of listings of the two sources that offer one car, more likely than not."""
+    return _matches(spark, sf_dir).where("probability >= 0.5").select("rec_id_a", "rec_id_b")
+
+
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs with their marginal match probability."""
+    return _matches(spark, sf_dir)
+
+
 #: The fields that the reference list covers (fixed values).
 REFERENCE_FIELDS = ["manufacturer", "model", "main_color"]
 
@@ -149,6 +164,6 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_report": p5_report,
+    "p1_found": p1_found, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p5_report": p5_report,
     "p7_found": p7_found, "p7_survivors": p7_survivors, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_shares": p10_shares,
 }
