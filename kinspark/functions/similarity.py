@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _jaro_winkler(a: str, b: str) -> float:
@@ -37,7 +38,7 @@ def _jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * same * (1 - jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Arrow batches; each distinct pair of values is computed once per task. Null gives null."""
     known: dict[tuple[str, str], float] = {}

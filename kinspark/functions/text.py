@@ -41,9 +41,10 @@ def clean_description(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """A double, or null for anything that isn't a number."""
+    """A double, or null for anything that isn't a number (the JVM alone would read ``4d`` as 4)."""
     x = c.try_cast("double")
-    return F.when(~F.isnan(x), x)
+    suffixed = c.cast("string").rlike(r"(?i)\d[df]\s*$")
+    return F.when(~F.isnan(x) & ~suffixed, x)
 
 
 def mapped(c: Column, values: Mapping[str, str]) -> Column:

@@ -41,13 +41,13 @@ def _category(x: Column, y: Column, words: list[str]) -> dict[str, Column]:
 
 def distance_features(pairs: DataFrame) -> tuple[DataFrame, list[str]]:
     """``pairs`` with distances of all fields and a flag for each missing one; the feature names."""
+    # Forms, then distances, then features: each is computed once, in a projection of its own.
+    out = pairs.withColumns({f"_f_{c}_{s}": F.lower(matcher_form(F.col(f"{c}_{s}"))) for c in STRINGS for s in "AB"})
+    raw = {c: edit_distance_share(F.col(f"_f_{c}_A"), F.col(f"_f_{c}_B")) for c in STRINGS} | {c: log_ratio(F.col(f"{c}_A"), F.col(f"{c}_B")) for c in RATIOS}
+    out = out.withColumns({f"_d_{c}": d for c, d in raw.items()}).drop(*[f"_f_{c}_{s}" for c in STRINGS for s in "AB"])
     cols: dict[str, Column] = {}
-    for c in STRINGS:
-        d = edit_distance_share(F.lower(matcher_form(F.col(f"{c}_A"))), F.lower(matcher_form(F.col(f"{c}_B"))))
-        cols |= {f"d_{c}": F.coalesce(d, F.lit(0.0)), f"miss_{c}": d.isNull().cast("double")}
-    for c in RATIOS:
-        d = log_ratio(F.col(f"{c}_A"), F.col(f"{c}_B"))
-        cols |= {f"d_{c}": F.coalesce(d, F.lit(0.0)), f"miss_{c}": d.isNull().cast("double")}
+    for c in raw:
+        cols |= {f"d_{c}": F.coalesce(f"_d_{c}", F.lit(0.0)), f"miss_{c}": F.col(f"_d_{c}").isNull().cast("double")}
     for c, words in VOCABULARIES.items():
         cols |= {f"{k}_{c}": v for k, v in _category(F.lower(F.col(f"{c}_A")), F.lower(F.col(f"{c}_B")), words).items()}
-    return pairs.withColumns(cols), list(cols)
+    return out.withColumns(cols).drop(*[f"_d_{c}" for c in raw]), list(cols)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import shutil
+import tempfile
+from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,3 +34,28 @@ def session(app: str = "kinspark", master: str | None = None, **extra: str) -> S
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     return s
+
+
+_SHIPPED: set[str] = set()
+
+
+def _send(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    to = tempfile.mkdtemp(prefix="kinspark-zip-")  # of the driver; workers fetch the file from it
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{to}/{here.name}", "zip", here.parent, here.name))
+    _SHIPPED.add(app)
+
+
+def ship(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query``, with the package sent to the workers first: they need no installed copy of it."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _send(spark)
+        return query(spark, sf_dir)
+
+    return run
