@@ -36,6 +36,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.stage import Stage
 
@@ -75,7 +77,7 @@ def class_of(elements: list[int]) -> int:
 
 
 class Sketcher(Elements):
-    """Weighted bottom-k sketches and the keys of their runs.
+    """Weighted bottom-k sketches and the keys of their runs. An element is known by its rank, a 64-bit float.
 
     ``bits`` holds the rarity of the elements that are not ``rare``; ``need`` is the rarity of a run.
     """
@@ -83,60 +85,72 @@ class Sketcher(Elements):
     def __init__(self, k: int, bits: dict[int, float], rare: float, need: float):
         super().__init__()
         self.k, self.bits, self.rare, self.need = k, bits, rare, need
+        self.weights: dict[float, float] = {}
 
-    def hash_of(self, w: str, c: int) -> tuple[float, int, float]:
-        """(rank, hash, weight); the common ones rank last."""
+    def hash_of(self, w: str, c: int) -> float:
+        """The rank; the common elements rank last."""
         h = super().hash_of(w, c)
         weight = self.bits.get(h, self.rare)
-        return (-math.log((h + 1) / 2.0**63) / weight if weight >= COMMON else LAST + h, h, weight)
+        rank = -math.log((h + 1) / 2.0**63) / weight if weight >= COMMON else LAST * (1 + h / 2.0**63)
+        if weight != self.rare:
+            self.weights[rank] = weight
+        return rank
 
     def keys(self, words: list[str]) -> list[int]:
         s = sorted(self.of(words))[: self.k]
-        if s and s[-1][0] >= LAST:
-            s = [x for x in s if x[0] < LAST or len(s) < self.k // 4]
-        out, end, have, need = [], 0, 0.0, self.need
-        ids = tuple([x[1] for x in s])
-        for start, x in enumerate(s):
+        if s and s[-1] >= LAST:
+            s = [x for x in s if x < LAST or len(s) < self.k // 4]
+        weight_of, rare, need = self.weights.get, self.rare, self.need
+        weights = [weight_of(x, rare) for x in s]
+        out, end, have, s = [], 0, 0.0, tuple(s)
+        for start, weight in enumerate(weights):
             while have < need and end < len(s):
-                have += s[end][2]
+                have += weights[end]
                 end += 1
             if have < need:
                 break
-            out.append(hash(ids[start:end]) & MASK)  # of ints: the same in every process
-            have -= x[2]
+            out.append(hash(s[start:end]) & MASK)  # of floats: the same in every process
+            have -= weight
         return out
 
 
-def _classes(min_words: int):
-    """(id, text) to (cid, id, text) of each text with enough words."""
+def _classes(min_words: int, id_type: pa.DataType):
+    """(id, text) to (cid, id, text) of each text with enough words, and (h, n): in how many of them each element stands; h is -1 for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        elements = Elements()
+        elements, count, n = Elements(), Counter(), 0
+        names, none = ["cid", "id", "text", "h", "n"], pa.nulls
+
+        def counted() -> pa.RecordBatch:
+            k = len(count)
+            return pa.RecordBatch.from_arrays([none(k, pa.int64()), none(k, id_type), none(k, pa.string()), pa.array(count.keys(), pa.int64()), pa.array(count.values(), pa.int64())], names=names)
+
         for b in batches:
             found = [elements.of(t.split()) for t in b.column(1).to_pylist()]
-            keep = pa.array([len(e) >= min_words for e in found], pa.bool_())
+            keep = [len(e) >= min_words for e in found]
+            for e, ok in zip(found, keep):
+                if ok:
+                    count.update(e)
+                    n += 1
             cid = pa.array([class_of(e) for e in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([cid, b.column(0), b.column(1)], names=["cid", "id", "text"]).filter(keep)
+            whole = pa.RecordBatch.from_arrays([cid, b.column(0), b.column(1), none(len(cid), pa.int64()), none(len(cid), pa.int64())], names=names)
+            yield whole.filter(pa.array(keep, pa.bool_()))
+            if len(count) > 1_000_000:
+                yield counted()
+                count.clear()
+        count[-1] = n
+        yield counted()
 
     return run
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    elements, count, n = Elements(), Counter(), 0
-    schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.int64()), pa.array(count.values(), pa.int64())], schema=schema)
-
-    for b in batches:
-        for t in b.column(0).to_pylist():
-            count.update(elements.of(t.split()))
-            n += 1
-        if len(count) > 1_000_000:
-            yield out()
-            count.clear()
-    count[-1] = n  # the number of texts
-    yield out()
+def classified(texts: DataFrame, stage: Stage, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """(classes, counts) of ``texts`` (id, text): cid, id, text of those with enough words; h, n of their elements. One pass, written."""
+    usable = texts.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", "text")
+    id_type = usable.schema["id"].dataType
+    schema = StructType([StructField("cid", LongType()), StructField("id", id_type), StructField("text", StringType()), StructField("h", LongType()), StructField("n", LongType())])
+    both = stage.put(usable.mapInArrow(_classes(min_words, to_arrow_type(id_type)), schema), "texts", compression="zstd")
+    return both.where(F.col("cid").isNotNull()).select("cid", "id", "text"), both.where(F.col("h").isNotNull()).groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def _keys_of(k: int, bits: dict[int, float], rare: float, need: float):
@@ -197,27 +211,39 @@ def pairs_in_sorted_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         last, members = keys[-1], ids[bounds[-2] :].copy()
 
 
-def _estimate(u: list[str], v: list[str], k: int) -> tuple[int, int]:
-    """Size of the union's sketch and how much of it both have. The hash is the process's own; both texts are here."""
-    x, y = sorted(map(hash, set(u)))[:k], sorted(map(hash, set(v)))[:k]
+def _estimate(x: list[int], y: list[int], k: int) -> tuple[int, int]:
+    """Size of the union's sketch and how much of it both have, from the sketches of both."""
     both = set(x).intersection(y)
     union = sorted(both.union(x, y))[:k]
-    return len(union), sum(h in both for h in union)
+    return len(union), sum([h in both for h in union])
 
 
 def _verify(k: int, top: int, bottom: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple[int, Counter, list[int]]] = {}
+
+        def bag(c: int, t: str) -> tuple[int, Counter, list[int]]:
+            """Length, words and sketch of a text; the sketch's hash is the process's own, as both texts are here."""
+            got = known.get(c)
+            if got is None:
+                if len(known) > 3000:
+                    known.clear()
+                ws = t.split()
+                words = Counter(ws)
+                got = known[c] = len(ws), words, sorted(map(hash, words))[:k]
+            return got
+
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                u, v = x.split(), y.split()
-                longer = max(len(u), len(v))
-                ok = min(len(u), len(v)) * bottom >= top * longer
+            for i, j, x, y in zip(*(b.column(c).to_pylist() for c in range(4))):
+                (n, u, su), (m, v, sv) = bag(i, x), bag(j, y)
+                longer = max(n, m)
+                ok = min(n, m) * bottom >= top * longer
                 if ok:
-                    n, both = _estimate(u, v, k)
+                    size, both = _estimate(su, sv, k)
                     # Half of the expected share at the least, less five standard errors: only hopeless pairs fall.
-                    ok = both / n >= 0.5 - 2.5 / math.sqrt(n)
-                    ok = ok and sum((Counter(u) & Counter(v)).values()) * bottom >= top * longer
+                    ok = both / size >= 0.5 - 2.5 / math.sqrt(size)
+                    ok = ok and sum([min(c, v[w]) for w, c in u.items() if w in v]) * bottom >= top * longer
                 keep.append(ok)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -240,14 +266,11 @@ def near_duplicates(texts: DataFrame, *, min_words: int = 20, share: tuple[int,
     """
     top, bottom = share
     stage = Stage(texts.sparkSession)
-    usable = texts.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", "text")
-    classes = stage.put(usable.mapInArrow(_classes(min_words), usable.select(F.lit(0).cast("long").alias("cid"), "id", "text").schema), "texts", compression="zstd")
-    counts = stage.put(classes.select("text").mapInArrow(_frequencies, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequencies")
+    classes, counts = classified(texts, stage, min_words)
     n = counts.where("h = -1").agg(F.sum("n").alias("n")).first()["n"] or 0
     heavy = counts.where((F.col("h") != -1) & (F.col("n") >= max(2.0, HEAVY * n))).collect()  # at most mean length / HEAVY rows
     bits = {r["h"]: math.log2(max(n, 2) / r["n"]) for r in heavy}
     rare, need = -math.log2(HEAVY), math.log2(max(n, 2)) + slack
-    stage.drop(counts)
 
     lists = classes.select("cid", "text").mapInArrow(_keys_of(k, bits, rare, need), "key long, cid long")
     lists = lists.repartition("key").sortWithinPartitions("key", "cid")

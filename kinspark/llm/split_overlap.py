@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stage import Stage
-from .near_duplicates import _classes
+from .near_duplicates import classified
 
 GRAM, LONG = 3, 7
 COMMON = 0.0005  # of the texts
@@ -118,13 +118,7 @@ def overlapping_texts(evaluation: DataFrame, training: DataFrame, *, min_words:
     below 1 in 1,000 on the boundary.
     """
     stage = Stage(evaluation.sparkSession)
-    schema = "cid long, id string, text string"
-
-    def classes(t: DataFrame, name: str) -> DataFrame:
-        t = t.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", "text").distinct()
-        return stage.put(t.mapInArrow(_classes(min_words), schema), name, compression="zstd")
-
-    ev, tr = classes(evaluation, "evaluation"), classes(training, "training")
+    (ev, _), (tr, _) = (classified(t.select("id", "text").distinct(), stage, min_words) for t in (evaluation, training))
     ev1, tr1 = (stage.put(x.select("cid", "text").dropDuplicates(["cid"]), "classes") for x in (ev, tr))
     n_ev, n_tr = ev1.count(), tr1.count()
     counts = ev1.select("text").unionByName(tr1.select("text")).mapInArrow(_gram_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
