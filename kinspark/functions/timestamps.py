@@ -39,8 +39,8 @@ PATTERN = (
     r"(?is)^\s*(?:(?<e>\d{9,14})"
     rf"|(?<y6>\d{{4}})(?<m6>\d{{2}})(?<d6>\d{{2}})t(?<h6>\d{{2}})(?<i6>\d{{2}})(?<s6>\d{{2}})?(?:[.,]\d+)?\s*(?<z6>{_ZONE})?"
     rf"|(?:{'|'.join(_DATES)})"
-    r"(?:(?:t|,?\s+)(?<h>\d{1,2}):(?<i>\d{2})(?::(?<s>\d{2})(?:[.,]\d{1,9})?)?(?:\s*(?<a>[ap])\.?m\.?(?![a-z]))?"
-    rf"\s*(?<z>{_ZONE})?)?)\s*$"
+    r"(?:(?:t|,?\s+)(?<h>\d{1,2}):(?<i>\d{2})(?::(?<s>\d{2})(?:[.,]\d{1,9})?)?(?:\s*(?<a>[ap])\.?m\.?(?![a-z]))?)?"
+    rf"\s*(?<z>{_ZONE})?)\s*$"
 )
 #: One position per component; at most one of the groups in a position takes part in a match.
 _PARTS = ["${e}", "${y1}${y2}${y3}${y4}${y5}${y6}", "${m1}${m2}${m3}${m6}", "${n4}${n5}", "${d1}${d2}${d3}${d4}${d5}${d6}", "${h}${h6}", "${i}${i6}", "${s}${s6}", "${a}", "${z}${z6}"]
