@@ -12,7 +12,7 @@ least ``min_words`` words and share at least ``share`` of the longer one's.
    neighbouring sketch values: a run starts at each value and ends when its elements
    together are rarer than one text in ``n * 2**slack``, by document frequencies counted
    over all texts. So no list grows with the corpus unless its members truly resemble each
-   other. (Texts that consist of the commonest words only use those.)
+   other. Texts that say little get shorter runs, down to single elements.
 3. Texts that meet in a list are candidates; the number of lists is their overlap.
 4. The sketch of the union estimates the resemblance and drops hopeless candidates (five
    standard errors below half), then words are counted with repeats.
@@ -27,6 +27,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -43,6 +44,7 @@ from ..operators.stage import Stage
 
 HEAVY = 0.002
 LAST = 1e30  # above every rank
+ENOUGH = 24  # uncommon elements that make common ones needless
 COMMON = 2.0  # bits: found in more than a quarter of the texts
 MASK = (1 << 48) - 1
 
@@ -96,23 +98,47 @@ class Sketcher(Elements):
             self.weights[rank] = weight
         return rank
 
-    def keys(self, words: list[str]) -> list[int]:
-        s = sorted(self.of(words))[: self.k]
+    def form(self, words: list[str]) -> list[float]:
+        """The elements in order of rank, without the common ones if there are enough others."""
+        s = sorted(self.of(words))
         if s and s[-1] >= LAST:
-            s = [x for x in s if x < LAST or len(s) < self.k // 4]
-        weight_of, rare, need = self.weights.get, self.rare, self.need
+            rest = s[: bisect.bisect_left(s, LAST)]
+            if len(rest) >= ENOUGH:
+                return rest
+        return s
+
+    def runs(self, s: list[float], need: float) -> tuple[list[tuple[int, int]], float]:
+        """(start, end) of the runs of ``s`` that hold ``need`` bits, and the bits of all of ``s``."""
+        weight_of, rare = self.weights.get, self.rare
         weights = [weight_of(x, rare) for x in s]
-        out, end, have, s = [], 0, 0.0, tuple(s)
+        out, end, have, n = [], 0, 0.0, len(s)
         for start, weight in enumerate(weights):
-            while have < need and end < len(s):
+            while have < need and end < n:
                 have += weights[end]
                 end += 1
             if have < need:
                 break
-            out.append(hash(s[start:end]) & MASK)  # of floats: the same in every process
+            out.append((start, end))
             have -= weight
+        return out, sum(weights)
+
+    def spans(self, s: list[float]) -> list[tuple[int, int]]:
+        """The runs that stand for a form (of a text, or its first ``k`` elements).
+
+        A form with few bits gets shorter runs too, one with hardly any also the single
+        elements of its rarest fifth (and one more), one of which any match shares.
+        """
+        out, bits = self.runs(s, self.need)
+        if bits < 4 * self.need:
+            out = out + self.runs(s, self.need / 2)[0]
+            if bits < self.need:
+                out += [(i, i + 1) for i in range(len(s) - -(-4 * len(s) // 5) + 1)]
         return out
 
+    def keys(self, words: list[str]) -> list[int]:
+        s = tuple(self.form(words)[: self.k])
+        return [hash(s[i:j]) & MASK for i, j in self.spans(s)]  # of floats: the same in every process
+
 
 def _classes(min_words: int, id_type: pa.DataType):
     """(id, text) to (cid, id, text) of each text with enough words, and (h, n): in how many of them each element stands; h is -1 for all."""

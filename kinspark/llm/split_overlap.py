@@ -2,15 +2,16 @@
 
 Two texts are almost the same if both have ``min_words`` words or more and share at least
 ``share`` of the longer one's, counted with repeats (as in ``near_duplicates``). They are
-found through common passages: the normalised evaluation texts are cut into passages of
-three words, of which those found in many texts are left out (by counts over all texts);
-the ``passages`` of smallest hash stand for the text. A text with few rare passages takes
-longer ones instead. Passages are sharded; an Aho-Corasick automaton of each shard scans
-every training text; matched intervals, merged, give the coverage of each evaluation text,
-and those with two passages or more are compared word by word.
-
-Texts with equal words are one class first. Shards and splits hold about ``shard`` classes
-each, every shard meets every split in a task of its own: |train| x shards + |eval| x splits
+found through common passages, whatever the order of the words: a text is normalised to
+its elements (word, how often it came before) in order of rank, as ``Sketcher`` gives them,
+each element one character. The passages of an evaluation text are runs of its normal form
+that hold enough bits of rarity (by counts over all texts of both sides). Passages are
+sharded; an Aho-Corasick automaton of each shard scans the whole normal form of every
+training text; matched intervals, merged, give the coverage of each evaluation text, and
+the texts so found are compared word by word.
+
+Texts with equal words are one class first. Shards hold about ``shard`` classes, splits
+four times as many; every shard meets every split in a task of its own: |train| x shards + |eval| x splits
 rows are moved, and no task holds more than one shard and one split, whatever the skew.
 (The pairing of shards and splits is the block-wise comparison of a query set with all rows.)
 
@@ -20,47 +21,20 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stage import Stage
-from .near_duplicates import classified
+from .near_duplicates import HEAVY, Sketcher, classified
 
-GRAM, LONG = 3, 7
-COMMON = 0.0005  # of the texts
 OUT = pa.schema([("eval_cid", pa.int64()), ("train_cid", pa.int64()), ("coverage", pa.float64())])
 
 
-def _gram(ws: list[str], i: int) -> int:
-    return xxhash.xxh64_intdigest(" ".join(ws[i : i + GRAM])) >> 1
-
-
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count: Counter = Counter()
-    for b in batches:
-        for t in b.column(0).to_pylist():
-            ws = t.split()
-            count.update({_gram(ws, i) for i in range(len(ws) - GRAM + 1)})
-        if len(count) > 1_000_000:
-            yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.int64()), pa.array(count.values(), pa.int64())], names=["h", "n"])
-            count.clear()
-    yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.int64()), pa.array(count.values(), pa.int64())], names=["h", "n"])
-
-
-def passages_of(ws: list[str], common: frozenset[int], most: int) -> list[tuple[int, int]]:
-    """(start, end) of the passages that stand for a text."""
-    grams = [(h, i) for i in range(len(ws) - GRAM + 1) if (h := _gram(ws, i)) not in common]
-    if len(grams) >= 4:
-        return [(i, i + GRAM) for _, i in sorted(grams)[:most]]
-    return [(i, min(i + LONG, len(ws))) for i in range(max(1, len(ws) - LONG + 1))]
-
-
 def merged_length(intervals: list[tuple[int, int]]) -> int:
     """Words covered by intervals that may overlap."""
     total, reach = 0, -1
@@ -70,26 +44,32 @@ def merged_length(intervals: list[tuple[int, int]]) -> int:
     return total
 
 
-def _scan(common: frozenset[int], most: int, top: int, bottom: int):
+def _scan(k: int, bits: dict[int, float], rare: float, need: float, top: int, bottom: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: list[tuple[int, int, float]] = []
+        if not left.num_rows or not right.num_rows:
+            return OUT.empty_table()
+        sketcher = Sketcher(k, bits, rare, need)
+        letters: dict[float, str] = {}
         owners: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
-        texts = [t.split() for t in left.column("text").to_pylist()]
+        texts, sizes = [t.split() for t in left.column("text").to_pylist()], []
         cids = left.column("cid").to_pylist()
         for e, ws in enumerate(texts):
-            for s, t in passages_of(ws, common, most):
-                owners[" ".join(["", *ws[s:t], ""])].append((e, s, t))
-        if not owners or not right.num_rows:
-            return OUT.empty_table()
+            form = sketcher.form(ws)[:k]
+            sizes.append(len(form))
+            # Code points from 1 on, past the surrogates; 0 stands for elements that no passage has.
+            own = "".join([letters.get(x) or letters.setdefault(x, chr(len(letters) + (1 if len(letters) < 0xD000 else 0x1000))) for x in form])
+            for s, t in sketcher.spans(form):
+                owners[own[s:t]].append((e, s, t))
         automaton = ahocorasick.Automaton()
         for passage, where in owners.items():
             automaton.add_word(passage, where)
         automaton.make_automaton()
         bags: dict[int, Counter] = {}
+        rows: list[tuple[int, int, float]] = []
         for cid, t in zip(right.column("cid").to_pylist(), right.column("text").to_pylist()):
             ws = t.split()
             hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for _, where in automaton.iter(" ".join(["", *ws, ""])):
+            for _, where in automaton.iter("".join([letters.get(x, "\0") for x in sketcher.form(ws)])):
                 for e, s, end in where:
                     hits[e].append((s, end))
             if not hits:
@@ -98,36 +78,39 @@ def _scan(common: frozenset[int], most: int, top: int, bottom: int):
             for e, intervals in hits.items():
                 mine = texts[e]
                 longer = max(len(mine), len(ws))
-                if len(intervals) < 2 or min(len(mine), len(ws)) * bottom < top * longer:
+                if min(len(mine), len(ws)) * bottom < top * longer:
                     continue
                 own = bags.get(e)
                 if own is None:
                     own = bags[e] = Counter(mine)
-                if sum((own & bag).values()) * bottom >= top * longer:
-                    rows.append((cids[e], cid, merged_length(intervals) / len(mine)))
-        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), OUT)] if rows else [pa.array([], f.type) for f in OUT], schema=OUT)
+                if sum([min(c, bag[w]) for w, c in own.items() if w in bag]) * bottom >= top * longer:
+                    rows.append((cids[e], cid, merged_length(intervals) / sizes[e]))
+        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), OUT)], schema=OUT) if rows else OUT.empty_table()
 
     return run
 
 
-def overlapping_texts(evaluation: DataFrame, training: DataFrame, *, min_words: int = 20, share: tuple[int, int] = (4, 5), passages: int = 24, shard: int = 12_000) -> tuple[DataFrame, DataFrame]:
+def overlapping_texts(evaluation: DataFrame, training: DataFrame, *, min_words: int = 20, share: tuple[int, int] = (4, 5), k: int = 48, slack: float = 3.0, shard: int = 12_000) -> tuple[DataFrame, DataFrame]:
     """(members, found): cid, id of each evaluation text; eval_cid, train_cid, coverage of each pair of classes.
 
-    Both inputs have id and text; ids need not be unique. A pair whose passages are broken
-    by the edits but for one or none is missed: for 24 passages and a share of four fifths
-    below 1 in 1,000 on the boundary.
+    Both inputs have id and text; ids need not be unique. A pair of which the edits break
+    every passage is missed; ``k`` elements make that rarer than 1 in 500 on the boundary,
+    and far rarer above it.
     """
     stage = Stage(evaluation.sparkSession)
-    (ev, _), (tr, _) = (classified(t.select("id", "text").distinct(), stage, min_words) for t in (evaluation, training))
+    (ev, n_of_ev), (tr, n_of_tr) = (classified(t.select("id", "text").distinct(), stage, min_words) for t in (evaluation, training))
     ev1, tr1 = (stage.put(x.select("cid", "text").dropDuplicates(["cid"]), "classes") for x in (ev, tr))
     n_ev, n_tr = ev1.count(), tr1.count()
-    counts = ev1.select("text").unionByName(tr1.select("text")).mapInArrow(_gram_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    common = frozenset(r["h"] for r in counts.where(F.col("n") >= max(8, COMMON * (n_ev + n_tr))).select("h").collect())  # at most mean length / COMMON rows
-    shards, splits = max(1, -(-n_ev // shard)), max(1, -(-n_tr // shard))
+    n = n_ev + n_tr
+    counts = n_of_ev.unionByName(n_of_tr).where("h <> -1").groupBy("h").agg(F.sum("n").alias("n"))
+    heavy = counts.where(F.col("n") >= max(2.0, HEAVY * n)).collect()  # at most mean length / HEAVY rows
+    bits = {r["h"]: math.log2(max(n, r["n"], 2) / r["n"]) for r in heavy}
+    rare, need = -math.log2(HEAVY), math.log2(max(n, 2)) + slack
+    shards, splits = max(1, -(-n_ev // shard)), max(1, -(-n_tr // (4 * shard)))
     block = lambda n: F.pmod(F.xxhash64("cid"), F.lit(n))
     everywhere = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     left = ev1.select(block(shards).alias("s"), everywhere(splits, "t"), "cid", "text")
     right = tr1.select(everywhere(shards, "s"), block(splits).alias("t"), "cid", "text").select(F.col("s").cast("long").alias("s"), F.col("t").cast("int").alias("t"), "cid", "text")
     left = left.select("s", F.col("t").cast("int").alias("t"), "cid", "text")
-    found = left.groupBy("s", "t").cogroup(right.groupBy("s", "t")).applyInArrow(_scan(common, passages, *share), "eval_cid long, train_cid long, coverage double")
+    found = left.groupBy("s", "t").cogroup(right.groupBy("s", "t")).applyInArrow(_scan(k, bits, rare, need, *share), "eval_cid long, train_cid long, coverage double")
     return ev.select("cid", "id").distinct(), stage.put(found, "found", release=True)
