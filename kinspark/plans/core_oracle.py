@@ -195,6 +195,10 @@ ORACLE: dict[str, str] = {
     "vin_cleaned": f"SELECT DISTINCT rec_id, v AS vin FROM (SELECT {REC} AS rec_id, {VIN} AS v FROM {M} WHERE vin IS NOT NULL) WHERE {LEGAL} AND NOT {PLACEHOLDER} AND {CHECK}",
     "positives_self_join": POSITIVE,
     "negatives_hard_candidates": neg(["mfr", "yr", "body"]),
+    "negatives_medium_candidates": neg(["mfr", "yr"]),
+    "extra_ids": f"SELECT rec_id FROM (SELECT rec_id, row_number() OVER (ORDER BY md5('42|' || rec_id), rec_id) AS n FROM (SELECT DISTINCT rec_id FROM {CLEANED}) WHERE rec_id NOT IN ({UNION_IDS})) WHERE n <= 300",
+    "match_lists": f"SELECT id_A, id_B, CASE WHEN label = 1 THEN 'match' ELSE 'distinct' END AS kind FROM {ALL} WHERE id_A IN (SELECT rec_id FROM {CLEANED}) AND id_B IN (SELECT rec_id FROM {CLEANED})",
+    "default_scores": f"SELECT t.lo, t.hi, coalesce(max(c.prob), 0.0::DOUBLE) AS prob FROM (SELECT DISTINCT least(id_A, id_B) AS lo, greatest(id_A, id_B) AS hi FROM {pairs('test', 'label')}) t LEFT JOIN (SELECT least({trim('id_A')}, {trim('id_B')}) AS lo, greatest({trim('id_A')}, {trim('id_B')}) AS hi, prob FROM test_candidates WHERE id_A IS NOT NULL AND id_B IS NOT NULL) c ON t.lo = c.lo AND t.hi = c.hi GROUP BY 1, 2",
     "negatives_quota": f"{quota('700', '300')} SELECT id_A, id_B, 'hard' AS stratum, 0 AS label FROM h UNION ALL SELECT id_A, id_B, 'medium', 0 FROM m",
     "negatives_shares": f"{quota('700', '300')} SELECT stratum, count(*) AS n_pairs, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS pct FROM (SELECT 'hard' AS stratum FROM h UNION ALL SELECT 'medium' FROM m) GROUP BY 1",
     "ground_truth": f"""{quota('(SELECT 2 * count(*) * 70 // 100 FROM p)', '(SELECT 2 * count(*) * 30 // 100 FROM p)')} {split_of(

@@ -196,6 +196,11 @@ def negatives_hard_candidates(spark: Spark, d: str) -> DataFrame:
     return groundtruth.negative_candidates(_records(spark, d), ["mfr", "yr", "body"])
 
 
+@query
+def negatives_medium_candidates(spark: Spark, d: str) -> DataFrame:
+    return groundtruth.negative_candidates(_records(spark, d), ["mfr", "yr"])
+
+
 @query
 def negatives_quota(spark: Spark, d: str) -> DataFrame:
     return _negatives(spark, d, 1000).select("id_A", "id_B", "stratum", "label")
@@ -374,6 +379,31 @@ def pair_lookup(spark: Spark, d: str) -> DataFrame:
     return pairs.join(r.select(F.col("rec_id").alias("id_A"), F.col("price").alias("price_A")), "id_A").join(r.select(F.col("rec_id").alias("id_B"), F.col("price").alias("price_B")), "id_B")
 
 
+@query
+def extra_ids(spark: Spark, d: str) -> DataFrame:
+    """A sample of the cleaned records that stand in no pair of train or val."""
+    rest = _records(spark, d).select("rec_id").distinct().join(id_union(spark, d), "rec_id", "left_anti")
+    return hash_order.take(rest, 300, ["rec_id"])
+
+
+@query
+def match_lists(spark: Spark, d: str) -> DataFrame:
+    """Training pairs, as matches and distinct ones, of which both records are known."""
+    known = _records(spark, d).select("rec_id").distinct()
+    p = _all_pairs(spark, d)
+    for end in ("id_A", "id_B"):
+        p = p.join(known.withColumnRenamed("rec_id", end), end, "left_semi")
+    return p.select("id_A", "id_B", F.when(F.col("label") == 1, "match").otherwise("distinct").alias("kind"))
+
+
+@query
+def default_scores(spark: Spark, d: str) -> DataFrame:
+    """The best score of every test pair among the candidates; pairs that were never scored have 0."""
+    best = _trimmed(spark, d).select(*evaluate.pair_key(), "prob").groupBy("lo", "hi").agg(F.max("prob").alias("prob"))
+    truth = _distinct_pairs(spark, d, "test").select(*evaluate.pair_key()).distinct()
+    return truth.join(best, ["lo", "hi"], "left").select("lo", "hi", F.coalesce("prob", F.lit(0.0)).alias("prob"))
+
+
 def _splits(spark: Spark, d: str) -> list[DataFrame]:
     return [_distinct_pairs(spark, d, s) for s in ("train", "val", "test")]
 

@@ -7,6 +7,7 @@ import os
 from dataclasses import dataclass
 from pathlib import Path
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -80,6 +81,10 @@ def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def load_model(spark: SparkSession, path: str) -> PipelineModel:
+    return PipelineModel.load(require(spark, path))
+
+
 def show(df: DataFrame, columns: list[str] | None = None, rows: int = 50) -> None:
     df.select(*(columns or df.columns)).show(rows, truncate=False)
 
