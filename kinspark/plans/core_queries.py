@@ -31,9 +31,15 @@ def _mediated(spark: Spark, d: str) -> DataFrame:
     return table(spark, d, "mediated_schema_normalized")
 
 
-def _distinct_pairs(spark: Spark, d: str, split: str) -> DataFrame:
-    """A split's pairs: trimmed ids, repeated rows once."""
+BLOCKED = ["year", "manufacturer", "model", "fuel_type"]
+COMPARED = [c for c in PAIR_ATTRIBUTES if c not in ("description", "pubblication_date")]
+
+
+def _distinct_pairs(spark: Spark, d: str, split: str, attributes: list[str] | None = None) -> DataFrame:
+    """A split's pairs: trimmed ids, repeated rows once; of the attributes only those named, so that only they are read."""
     p = table(spark, d, split)
+    if attributes is not None:
+        p = p.select("id_A", *[f"{c}_A" for c in attributes], "id_B", *[f"{c}_B" for c in attributes], "label")
     return p.withColumns({c: text.strip(F.col(c)) for c in ("id_A", "id_B")}).distinct()
 
 
@@ -219,7 +225,7 @@ def ground_truth(spark: Spark, d: str) -> DataFrame:
 
 
 def _all_pairs(spark: Spark, d: str) -> DataFrame:
-    return _distinct_pairs(spark, d, "train").select("id_A", "id_B", "label").distinct()
+    return _distinct_pairs(spark, d, "train", [])
 
 
 @query
@@ -258,17 +264,17 @@ def first_per_id(spark: Spark, d: str) -> DataFrame:
 
 @query
 def block_b1(spark: Spark, d: str) -> DataFrame:
-    return blocking.block(_distinct_pairs(spark, d, "test"), "B1").select("id_A", "id_B", "label")
+    return blocking.block(_distinct_pairs(spark, d, "test", BLOCKED), "B1").select("id_A", "id_B", "label")
 
 
 @query
 def block_b2(spark: Spark, d: str) -> DataFrame:
-    return blocking.block(_distinct_pairs(spark, d, "test"), "B2").select("id_A", "id_B", "label")
+    return blocking.block(_distinct_pairs(spark, d, "test", BLOCKED), "B2").select("id_A", "id_B", "label")
 
 
 @query
 def block_stats(spark: Spark, d: str) -> DataFrame:
-    p = _distinct_pairs(spark, d, "test")
+    p = _distinct_pairs(spark, d, "test", BLOCKED)
     return blocking.blocking_stats(p, "B1").unionByName(blocking.blocking_stats(p, "B2"))
 
 
@@ -283,19 +289,19 @@ def block_value_pairs(spark: Spark, d: str) -> DataFrame:
 
 @query
 def jaro_winkler_values(spark: Spark, d: str) -> DataFrame:
-    v = _distinct_pairs(spark, d, "train").select("model_A", "model_B").distinct().where("model_A is not null and model_B is not null")
+    v = table(spark, d, "train").select("model_A", "model_B").distinct().where("model_A is not null and model_B is not null")
     return v.select("model_A", "model_B", F.round(jaro_winkler("model_A", "model_B"), 6).alias("similarity"))
 
 
 @query
 def features_lr(spark: Spark, d: str) -> DataFrame:
-    p = logistic_features(_distinct_pairs(spark, d, "train"))
+    p = logistic_features(_distinct_pairs(spark, d, "train", COMPARED))
     return p.select("id_A", "id_B", "label", *[F.round(c, 6).alias(c) for c in LOGISTIC])
 
 
 @query
 def features_distance(spark: Spark, d: str) -> DataFrame:
-    p, names = distance_features(_distinct_pairs(spark, d, "train"))
+    p, names = distance_features(_distinct_pairs(spark, d, "train", COMPARED))
     return p.select("id_A", "id_B", "label", *[F.round(c, 6).alias(c) for c in names])
 
 
@@ -326,7 +332,7 @@ def _trimmed(spark: Spark, d: str) -> DataFrame:
 @query
 def global_predictions(spark: Spark, d: str) -> DataFrame:
     """Whole-test predictions; of several candidates of a pair the most probable counts (then the higher decision)."""
-    truth = _distinct_pairs(spark, d, "test").select("id_A", "id_B", "label").withColumns({"prob": F.lit(0.0), "pred": F.lit(0)})
+    truth = _distinct_pairs(spark, d, "test", []).withColumns({"prob": F.lit(0.0), "pred": F.lit(0)})
     c = _trimmed(spark, d).where("pred is not null and prob is not null")
     return evaluate.global_predictions(truth, c, ["prob", "pred"]).select("lo", "hi", "label", "pred")
 
@@ -400,23 +406,23 @@ def match_lists(spark: Spark, d: str) -> DataFrame:
 def default_scores(spark: Spark, d: str) -> DataFrame:
     """The best score of every test pair among the candidates; pairs that were never scored have 0."""
     best = _trimmed(spark, d).select(*evaluate.pair_key(), "prob").groupBy("lo", "hi").agg(F.max("prob").alias("prob"))
-    truth = _distinct_pairs(spark, d, "test").select(*evaluate.pair_key()).distinct()
+    truth = _distinct_pairs(spark, d, "test", []).select(*evaluate.pair_key()).distinct()
     return truth.join(best, ["lo", "hi"], "left").select("lo", "hi", F.coalesce("prob", F.lit(0.0)).alias("prob"))
 
 
-def _splits(spark: Spark, d: str) -> list[DataFrame]:
-    return [_distinct_pairs(spark, d, s) for s in ("train", "val", "test")]
+def _splits(spark: Spark, d: str, attributes: list[str] | None = None) -> list[DataFrame]:
+    return [_distinct_pairs(spark, d, s, attributes) for s in ("train", "val", "test")]
 
 
 @query
 def lr_fit_predict(spark: Spark, d: str) -> DataFrame:
-    train, val, test = _splits(spark, d)
+    train, val, test = _splits(spark, d, COMPARED)
     return fit_logistic(train, val, [0.1, 1.0, 10.0]).score(test)
 
 
 @query
 def distance_matcher(spark: Spark, d: str) -> DataFrame:
-    train, val, test = _splits(spark, d)
+    train, val, test = _splits(spark, d, COMPARED)
     return fit_distance(train, val).score(test)
 
 
