@@ -11,6 +11,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +48,10 @@ class Stage:
         back._kinspark_path = path
         if release:
             del df
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
+            for _ in range(2):  # the plan's Python and JVM ends refer to each other; the cleaner works a moment later
+                gc.collect()
+                self.spark.sparkContext._jvm.System.gc()
+                time.sleep(0.3)
         return back
 
     def drop(self, df: DataFrame) -> None:
