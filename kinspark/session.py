@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import functools
+import io
 import os
-import shutil
-import tempfile
+import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
@@ -40,13 +40,21 @@ _SHIPPED: set[str] = set()
 
 
 def _send(spark: SparkSession) -> None:
-    """Give this package to the session's Python workers, once per application."""
+    """Give this package to the session's Python workers, once per application, by the shared folder."""
+    from .operators.stage import shared_dir
+
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
-    here = Path(__file__).resolve().parent
-    to = tempfile.mkdtemp(prefix="kinspark-zip-")  # of the driver; workers fetch the file from it
-    spark.sparkContext.addPyFile(shutil.make_archive(f"{to}/{here.name}", "zip", here.parent, here.name))
+    here, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, str(f.relative_to(here.parent)))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{here.name}-{app}.zip")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    out.write(packed.getvalue())
+    out.close()
+    spark.sparkContext.addPyFile(path.toString())
     _SHIPPED.add(app)
 
 
