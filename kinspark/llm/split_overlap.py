@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stage import Stage
-from .near_duplicates import HEAVY, Sketcher, classified
+from .near_duplicates import HEAVY, Sketcher, classified, element_counts
 
 OUT = pa.schema([("eval_cid", pa.int64()), ("train_cid", pa.int64()), ("coverage", pa.float64())])
 
@@ -98,11 +98,10 @@ def overlapping_texts(evaluation: DataFrame, training: DataFrame, *, min_words:
     and far rarer above it.
     """
     stage = Stage(evaluation.sparkSession)
-    (ev, n_of_ev), (tr, n_of_tr) = (classified(t.select("id", "text").distinct(), stage, min_words) for t in (evaluation, training))
-    ev1, tr1 = (stage.put(x.select("cid", "text").dropDuplicates(["cid"]), "classes") for x in (ev, tr))
+    (members, ev1), (_, tr1) = (classified(t.select("id", "text").distinct(), stage, min_words) for t in (evaluation, training))
     n_ev, n_tr = ev1.count(), tr1.count()
     n = n_ev + n_tr
-    counts = n_of_ev.unionByName(n_of_tr).where("h <> -1").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = element_counts(ev1.select("text").unionAll(tr1.select("text")))
     heavy = counts.where(F.col("n") >= max(2.0, HEAVY * n)).collect()  # at most mean length / HEAVY rows
     bits = {r["h"]: math.log2(max(n, r["n"], 2) / r["n"]) for r in heavy}
     rare, need = -math.log2(HEAVY), math.log2(max(n, 2)) + slack
@@ -113,4 +112,4 @@ def overlapping_texts(evaluation: DataFrame, training: DataFrame, *, min_words:
     right = tr1.select(everywhere(shards, "s"), block(splits).alias("t"), "cid", "text").select(F.col("s").cast("long").alias("s"), F.col("t").cast("int").alias("t"), "cid", "text")
     left = left.select("s", F.col("t").cast("int").alias("t"), "cid", "text")
     found = left.groupBy("s", "t").cogroup(right.groupBy("s", "t")).applyInArrow(_scan(k, bits, rare, need, *share), "eval_cid long, train_cid long, coverage double")
-    return ev.select("cid", "id").distinct(), stage.put(found, "found", release=True)
+    return members, stage.put(found, "found", release=True)
