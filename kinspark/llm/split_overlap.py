@@ -2,18 +2,20 @@
 
 Two texts are almost the same if both have ``min_words`` words or more and share at least
 ``share`` of the longer one's, counted with repeats (as in ``near_duplicates``). They are
-found through common passages, whatever the order of the words: a text is normalised to
-its elements (word, how often it came before) in order of rank, as ``Sketcher`` gives them,
-each element one character. The passages of an evaluation text are runs of its normal form
-that hold enough bits of rarity (by counts over all texts of both sides). Passages are
-sharded; an Aho-Corasick automaton of each shard scans the whole normal form of every
-training text; matched intervals, merged, give the coverage of each evaluation text, and
-the texts so found are compared word by word.
-
-Texts with equal words are one class first. Shards hold about ``shard`` classes, splits
-four times as many; every shard meets every split in a task of its own: |train| x shards + |eval| x splits
-rows are moved, and no task holds more than one shard and one split, whatever the skew.
-(The pairing of shards and splits is the block-wise comparison of a query set with all rows.)
+found as there: texts with equal words are one class first, signatures of all classes of one
+side are compared with all of the other, and the texts so found are compared word by word.
+No pair is missed.
+
+Coverage tells how much of an evaluation text stands in common passages. A text is normalised
+to its elements (word, how often it came before) in order of rank, as ``Sketcher`` gives them.
+The passages of an evaluation text are runs of its normal form that hold enough bits of rarity
+(by counts over the classes of both sides, each once a side); those that stand in the normal
+form of the training text, merged, give the coverage. A pair that shares no passage has the
+share of common elements instead.
+
+Shards hold about ``shard`` classes, splits four times as many; every shard meets every split
+in a task of its own: |train| x shards + |eval| x splits rows of signatures are moved, and no
+task holds more than one shard and one split, whatever the skew.
 
 Null and short texts match nothing; repeated rows count once; an empty table gives an empty
 result; other columns are ignored.
@@ -22,17 +24,15 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stage import Stage
-from .near_duplicates import HEAVY, Sketcher, classified, element_counts
-
-OUT = pa.schema([("eval_cid", pa.int64()), ("train_cid", pa.int64()), ("coverage", pa.float64())])
+from .near_duplicates import HEAVY, Sketcher, classified, element_counts, meet, signed
 
 
 def merged_length(intervals: list[tuple[int, int]]) -> int:
@@ -44,48 +44,24 @@ def merged_length(intervals: list[tuple[int, int]]) -> int:
     return total
 
 
-def _scan(k: int, bits: dict[int, float], rare: float, need: float, top: int, bottom: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return OUT.empty_table()
+def _covered(k: int, bits: dict[int, float], rare: float, need: float, top: int, bottom: int):
+    """(eval_cid, train_cid, x, y) to the pairs that match, with their coverage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(k, bits, rare, need)
-        letters: dict[float, str] = {}
-        owners: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
-        texts, sizes = [t.split() for t in left.column("text").to_pylist()], []
-        cids = left.column("cid").to_pylist()
-        for e, ws in enumerate(texts):
-            form = sketcher.form(ws)[:k]
-            sizes.append(len(form))
-            # Code points from 1 on, past the surrogates; 0 stands for elements that no passage has.
-            own = "".join([letters.get(x) or letters.setdefault(x, chr(len(letters) + (1 if len(letters) < 0xD000 else 0x1000))) for x in form])
-            for s, t in sketcher.spans(form):
-                owners[own[s:t]].append((e, s, t))
-        automaton = ahocorasick.Automaton()
-        for passage, where in owners.items():
-            automaton.add_word(passage, where)
-        automaton.make_automaton()
-        bags: dict[int, Counter] = {}
-        rows: list[tuple[int, int, float]] = []
-        for cid, t in zip(right.column("cid").to_pylist(), right.column("text").to_pylist()):
-            ws = t.split()
-            hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for _, where in automaton.iter("".join([letters.get(x, "\0") for x in sketcher.form(ws)])):
-                for e, s, end in where:
-                    hits[e].append((s, end))
-            if not hits:
-                continue
-            bag = Counter(ws)
-            for e, intervals in hits.items():
-                mine = texts[e]
-                longer = max(len(mine), len(ws))
-                if min(len(mine), len(ws)) * bottom < top * longer:
-                    continue
-                own = bags.get(e)
-                if own is None:
-                    own = bags[e] = Counter(mine)
-                if sum([min(c, bag[w]) for w, c in own.items() if w in bag]) * bottom >= top * longer:
-                    rows.append((cids[e], cid, merged_length(intervals) / sizes[e]))
-        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows), OUT)], schema=OUT) if rows else OUT.empty_table()
+        for b in batches:
+            keep, coverage = [], []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                mine, theirs = x.split(), y.split()
+                ok = (Counter(mine) & Counter(theirs)).total() * bottom >= top * max(len(mine), len(theirs))
+                keep.append(ok)
+                if ok:
+                    whole, other = sketcher.form(mine), sketcher.form(theirs)
+                    place, form = {e: i for i, e in enumerate(other)}, whole[:k]
+                    hits = [(s, t) for s, t in sketcher.spans(form) if form[s] in place and other[place[form[s]] : place[form[s]] + t - s] == form[s:t]]
+                    coverage.append(merged_length(hits) / len(form) if hits else sum(e in place for e in whole) / len(whole))
+            kept = b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(coverage, pa.float64())], names=["eval_cid", "train_cid", "coverage"])
 
     return run
 
@@ -93,23 +69,27 @@ def _scan(k: int, bits: dict[int, float], rare: float, need: float, top: int, bo
 def overlapping_texts(evaluation: DataFrame, training: DataFrame, *, min_words: int = 20, share: tuple[int, int] = (4, 5), k: int = 48, slack: float = 3.0, shard: int = 12_000) -> tuple[DataFrame, DataFrame]:
     """(members, found): cid, id of each evaluation text; eval_cid, train_cid, coverage of each pair of classes.
 
-    Both inputs have id and text; ids need not be unique. A pair of which the edits break
-    every passage is missed; ``k`` elements make that rarer than 1 in 500 on the boundary,
-    and far rarer above it.
+    Both inputs have id and text; ids need not be unique. ``k`` and ``slack`` set the
+    passages of the coverage and have no part in what is found.
     """
+    top, bottom = share
     stage = Stage(evaluation.sparkSession)
-    (members, ev1), (_, tr1) = (classified(t.select("id", "text").distinct(), stage, min_words) for t in (evaluation, training))
-    n_ev, n_tr = ev1.count(), tr1.count()
+    (members, ev), (_, tr) = (classified(t.select("id", "text").distinct(), stage, min_words) for t in (evaluation, training))
+    n_ev, n_tr = ev.count(), tr.count()
+    shards, splits = max(1, -(-n_ev // shard)), max(1, -(-n_tr // (4 * shard)))
+    block = lambda n: F.pmod(F.xxhash64("cid"), F.lit(n)).cast("int")
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = signed(ev, stage).select(block(shards).alias("s"), everywhere(splits).alias("t"), "cid", "size", "signature")
+    right = signed(tr, stage).select(everywhere(shards).alias("s"), block(splits).alias("t"), "cid", "size", "signature")
+    met = left.groupBy("s", "t").cogroup(right.groupBy("s", "t")).applyInArrow(meet(top, bottom, False), "a long, b long")
+    met = stage.put(met, "candidates", release=True)
+
     n = n_ev + n_tr
-    counts = element_counts(ev1.select("text").unionAll(tr1.select("text")))
+    counts = element_counts(ev.select("text").unionAll(tr.select("text")))
     heavy = counts.where(F.col("n") >= max(2.0, HEAVY * n)).collect()  # at most mean length / HEAVY rows
-    bits = {r["h"]: math.log2(max(n, r["n"], 2) / r["n"]) for r in heavy}
+    bits = {r["h"]: math.log2(max(n, 2) / r["n"]) for r in heavy}
     rare, need = -math.log2(HEAVY), math.log2(max(n, 2)) + slack
-    shards, splits = max(1, -(-n_ev // shard)), max(1, -(-n_tr // (4 * shard)))
-    block = lambda n: F.pmod(F.xxhash64("cid"), F.lit(n))
-    everywhere = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = ev1.select(block(shards).alias("s"), everywhere(splits, "t"), "cid", "text")
-    right = tr1.select(everywhere(shards, "s"), block(splits).alias("t"), "cid", "text").select(F.col("s").cast("long").alias("s"), F.col("t").cast("int").alias("t"), "cid", "text")
-    left = left.select("s", F.col("t").cast("int").alias("t"), "cid", "text")
-    found = left.groupBy("s", "t").cogroup(right.groupBy("s", "t")).applyInArrow(_scan(k, bits, rare, need, *share), "eval_cid long, train_cid long, coverage double")
+    both = met.join(ev.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a")
+    both = both.join(tr.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    found = both.mapInArrow(_covered(k, bits, rare, need, top, bottom), "eval_cid long, train_cid long, coverage double")
     return members, stage.put(found, "found", release=True)

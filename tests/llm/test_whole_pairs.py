@@ -3,6 +3,7 @@
 import random
 
 from kinspark.llm.near_duplicates import linked_pairs, near_duplicates
+from kinspark.llm.split_overlap import overlapping_texts
 
 HOT = [f"hot{i}" for i in range(120)]
 
@@ -27,3 +28,13 @@ def test_variants_of_a_text_that_a_third_of_the_rows_hold(spark):
     df = spark.createDataFrame([*copies, *variants, *beyond, *_others(r, 190)], "id string, text string")
     found = linked_pairs(near_duplicates(df)).where("id_a like 'c%' and id_b not like 'c%'").collect()
     assert {(x.id_a, x.id_b) for x in found} == {(c, v) for c, _ in copies for v, _ in variants}
+
+
+def test_split_overlap_with_a_text_copied_under_many_ids(spark):
+    r = random.Random(2)
+    variants = [(f"v{i}", _variant(r, f"v{i}", HOT, 24)) for i in range(12)]
+    train = [*[(f"c{i}", " ".join(HOT)) for i in range(100)], *_others(r, 100)]
+    schema = "id string, text string"
+    members, found = overlapping_texts(spark.createDataFrame([*variants, ("far", _variant(r, "far", HOT, 25))], schema), spark.createDataFrame(train, schema))
+    rows = members.join(found, members.cid == found.eval_cid).select("id", "coverage").collect()
+    assert {x.id for x in rows} == {v for v, _ in variants} and all(0 < x.coverage <= 1 for x in rows)
