@@ -71,15 +71,24 @@ class Resolver:
 
     def __init__(self, entries: list[tuple[int, str, list[str]]]):
         self.automaton = ahocorasick.Automaton()
-        self.entries, self.by_bigram = [], defaultdict(set)
+        self.by_word, self.by_number, self.by_bigram = defaultdict(list), defaultdict(list), defaultdict(list)
         owner: dict[str, int] = {}
         for ref, canonical, aliases in sorted(entries):
             for name in (canonical, *aliases):
                 for form in {name, name.replace(" ", "")}:
                     owner.setdefault(form, ref)
-            self.entries.append((ref, canonical.split(), canonical.replace(" ", "")))
-            for g in set().union(*map(_bigrams, (*canonical.split(), canonical.replace(" ", "")))):
-                self.by_bigram[g].add(len(self.entries) - 1)
+            words, joined = canonical.split(), canonical.replace(" ", "")
+            if words:
+                self.by_word[words[0]].append((ref, words))
+            if len(words) > 1 and (number := "".join(re.findall(r"\d+$", joined))):
+                self.by_number[number].append((ref, joined[: -len(number)]))
+        # An edit of ``typing_distance`` changes at most three bigrams of a word, so a form within the allowed
+        # distance keeps all but that many; words with no more of them are compared with every form.
+        self.keeps = {w: len(_bigrams(w)) - 3 * int(allowed(w) / 0.9) for words in self.by_word.values() for _, ws in words for w in ws}
+        self.short = [w for w, n in self.keeps.items() if n < 1]
+        for w in self.keeps:
+            for g in _bigrams(w):
+                self.by_bigram[g].append(w)
         for form, ref in owner.items():
             if form:
                 self.automaton.add_word(f" {form} ", (len(form), ref))
@@ -97,24 +106,22 @@ class Resolver:
         return won
 
     def similar(self, tokens: list[str]) -> int:
-        """The entry whose words are nearest to the tokens, 0 if none is near enough."""
+        """The entry whose words are nearest to the tokens, 0 if none is near enough; no entry is left out."""
         forms = set(tokens) | {a + b for a, b in zip(tokens, tokens[1:])} | {a + b + c for a, b, c in zip(tokens, tokens[1:], tokens[2:])}
-        if len(self.entries) <= 20:
-            some = range(len(self.entries))
-        else:
-            shared = Counter(i for f in forms for g in _bigrams(f) for i in self.by_bigram.get(g, ()))
-            some = [i for i, _ in sorted(shared.items(), key=lambda x: (-x[1], x[0]))[:12]]
-        best, answer = float("inf"), 0
-        for i in some:
-            ref, words, joined = self.entries[i]
-            score = sum(min((typing_distance(f, w, allowed(w)) for f in forms), default=float("inf")) for w in words)
-            if len(words) > 1:
-                number = "".join(re.findall(r"\d+$", joined))
-                whole = min((typing_distance(f[: -len(number)], joined[: -len(number)], 2.0) for f in forms if number and f.endswith(number)), default=float("inf"))
-                score = min(score, whole)
-            if score < best:
-                best, answer = score, ref
-        return answer
+        near: dict[str, float] = {}
+        found = []
+        for f in forms:
+            shared = Counter(w for g in _bigrams(f) for w in self.by_bigram.get(g, ()))
+            for w in [*(w for w, n in shared.items() if n >= self.keeps[w] > 0), *self.short]:
+                distance = typing_distance(f, w, allowed(w))
+                if distance < near.get(w, float("inf")):
+                    near[w] = distance
+            digits = len(f) - len(f.rstrip("0123456789"))
+            for n in range(1, digits + 1):
+                found += [(typing_distance(f[:-n], stem, 2.0), ref) for ref, stem in self.by_number.get(f[-n:], ())]
+        found += [(sum(near[w] for w in words), ref) for first in near for ref, words in self.by_word.get(first, ()) if all(w in near for w in words)]
+        score, ref = min(found, default=(float("inf"), 0))
+        return ref if score < float("inf") else 0
 
     def resolve(self, value: str) -> int:
         tokens = re.findall("[a-z0-9]+", value.lower())
