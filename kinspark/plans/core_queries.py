@@ -417,7 +417,7 @@ def _splits(spark: Spark, d: str, attributes: list[str] | None = None) -> list[D
 @query
 def lr_fit_predict(spark: Spark, d: str) -> DataFrame:
     train, val, test = _splits(spark, d, COMPARED)
-    return fit_logistic(train, val, [0.1, 1.0, 10.0]).score(test)
+    return fit_logistic(train, val).score(test)
 
 
 @query
@@ -436,7 +436,7 @@ def text_matcher(spark: Spark, d: str) -> DataFrame:
 def compare_report(spark: Spark, d: str) -> DataFrame:
     from ..matching.models import compare
 
-    rows = compare(*_splits(spark, d), models=("distance", "text"))
+    rows = compare(*_splits(spark, d))
     return spark.createDataFrame(rows).select(*rows[0])
 
 
