@@ -71,9 +71,12 @@ def with_utc_second(df: DataFrame, value: str, local_zone: str | None, out: str
     """
     known = sorted(zoneinfo.available_timezones())
     keep = [F.col(f"`{c}`") for c in df.columns if c != out]
-    raw = F.split(F.regexp_replace(F.col(f"`{value}`"), F.lit(PATTERN), F.lit(REPLACEMENT)), "\u0001")
+    given = F.col(f"`{value}`")
+    # Runs of blanks in long values become one blank, so that the pattern never tries their divisions; no length is refused.
+    given = F.when(F.length(given) <= 80, given).otherwise(F.regexp_replace(given, r"\s+", " "))
+    raw = F.split(F.regexp_replace(given, F.lit(PATTERN), F.lit(REPLACEMENT)), "\u0001")
     zone_in = F.lit("UTC") if local_zone is None else F.col(f"`{local_zone}`")
-    df = df.select(*keep, F.when(F.length(F.col(f"`{value}`")) <= 80, raw).alias("_p"), zone_in.alias("_lz"))
+    df = df.select(*keep, raw.alias("_p"), zone_in.alias("_lz"))
     text = lambda k: F.get("_p", F.lit(k + 1))
     num = lambda k: text(k).try_cast("bigint")  # noqa: E731  empty and missing give null
     name = F.substring(F.lower(text(3)), 1, 3)
