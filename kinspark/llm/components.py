@@ -61,7 +61,7 @@ def connected_groups(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> Data
         left = roots.select(F.col("c").alias("u"), F.col("p").alias("x"))
         right = roots.select(F.col("c").alias("v"), F.col("p").alias("y"))
         moved = edges.join(left, "u").join(right, "v").where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-        after = stage.put(moved, "edges", release=True)
+        after = stage.put(moved, "edges")
         stage.drop(edges)
         edges = after
     if not levels:

@@ -128,6 +128,6 @@ def leaked(documents: DataFrame, items: DataFrame, *, k: int = 8, window: int =
         of_items = F.broadcast(of_items)
     of_docs = docs.mapInArrow(_fingerprints(k, window), schema).select(F.col("id").alias("doc_id"), "h", F.col("at").alias("p"))
     hits = of_docs.join(of_items, "h").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("p", "q")).alias("hits"))
-    hits = stage.put(hits, "hits", release=True)
+    hits = stage.put(hits, "hits")
     full = hits.join(docs, "doc_id").join(its, "item_id").select("doc_id", "item_id", "hits", "text", "passage")
     return full.mapInArrow(_extend(k + window - 1), "doc_id long, item_id long, n_words int").groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))

@@ -147,7 +147,7 @@ def classified(texts: DataFrame, stage: Stage, min_words: int) -> tuple[DataFram
     usable = texts.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", "text")
     schema = StructType([StructField("cid", LongType()), StructField("id", usable.schema["id"].dataType), StructField("text", StringType())])
     rows = stage.put(usable.mapInArrow(_classes(min_words), schema), "texts", compression="zstd")
-    return rows.select("cid", "id").distinct(), stage.put(rows.select("cid", "text").dropDuplicates(["cid"]), "classes", release=True, compression="zstd")
+    return rows.select("cid", "id").distinct(), stage.put(rows.select("cid", "text").dropDuplicates(["cid"]), "classes", compression="zstd")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,11 +355,11 @@ def near_duplicates(texts: DataFrame, *, min_words: int = 20, share: tuple[int,
     right = signs.withColumn("t", block).select(every(F.lit(0), F.col("t")).alias("s"), "t", "cid", "size", "signature")
     right = right.where("s < t").unionByName(right.where("s = t").groupBy("s", "t").agg(*[F.first(c).alias(c) for c in ("cid", "size", "signature")]))
     candidates = left.groupBy("s", "t").cogroup(right.groupBy("s", "t")).applyInArrow(meet(top, bottom, True), "a long, b long")
-    candidates = stage.put(candidates, "candidates", release=True)
+    candidates = stage.put(candidates, "candidates")
 
     both = candidates.join(classes.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a")
     both = both.join(classes.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    links = stage.put(both.mapInArrow(_verify(top, bottom), "a long, b long"), "links", release=True)
+    links = stage.put(both.mapInArrow(_verify(top, bottom), "a long, b long"), "links")
     return NearDuplicates(members, links)
 
 

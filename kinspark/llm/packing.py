@@ -155,7 +155,7 @@ def pack(documents: DataFrame, containers: DataFrame, *, tokenizer: str = TOKENI
     ``containers`` (container_id, capacity_tokens) is a short fixed list; rows without a positive capacity are left out.
     """
     stage = Stage(documents.sparkSession)
-    counts = stage.put(token_counts(documents, tokenizer).dropDuplicates(["doc_id"]), "tokens", release=True)
+    counts = stage.put(token_counts(documents, tokenizer).dropDuplicates(["doc_id"]), "tokens")
     shards = max(1, -(-counts.count() // shard))
     sizes = {(r[0], r[1]) for r in containers.where("capacity_tokens > 0 and container_id is not null").select("container_id", "capacity_tokens").limit(MAX_CONTAINERS + 1).collect()}
     if len(sizes) > MAX_CONTAINERS:

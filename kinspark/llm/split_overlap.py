@@ -82,7 +82,7 @@ def overlapping_texts(evaluation: DataFrame, training: DataFrame, *, min_words:
     left = signed(ev, stage).select(block(shards).alias("s"), everywhere(splits).alias("t"), "cid", "size", "signature")
     right = signed(tr, stage).select(everywhere(shards).alias("s"), block(splits).alias("t"), "cid", "size", "signature")
     met = left.groupBy("s", "t").cogroup(right.groupBy("s", "t")).applyInArrow(meet(top, bottom, False), "a long, b long")
-    met = stage.put(met, "candidates", release=True)
+    met = stage.put(met, "candidates")
 
     n = n_ev + n_tr
     counts = element_counts(ev.select("text").unionAll(tr.select("text")))
@@ -92,4 +92,4 @@ def overlapping_texts(evaluation: DataFrame, training: DataFrame, *, min_words:
     both = met.join(ev.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a")
     both = both.join(tr.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
     found = both.mapInArrow(_covered(k, bits, rare, need, top, bottom), "eval_cid long, train_cid long, coverage double")
-    return members, stage.put(found, "found", release=True)
+    return members, stage.put(found, "found")
