@@ -1,28 +1,33 @@
-"""Problem 2: near-duplicate texts, all of them, by bit signatures.
+"""Problem 2: near-duplicate texts, all of them, by bottom-k sketches.
 
 A text is the multiset of its blank-separated words; element (word, i) is the i-th
 occurrence of a word, so multisets are sets of elements. Two texts match when both have at
 least ``min_words`` words and share at least ``share`` of the longer one's.
 
-1. Texts with equal multisets are one class, named by a 63-bit number (a sum of hashes and
-   the length); all later steps work on one text per class, so copies cost nothing however
-   many and count nowhere.
-2. Each element flips one of ``BITS`` bits of a text's signature. Two signatures differ in at
-   most as many bits as the texts differ in elements, so a pair that differs in more bits
-   than a match of these lengths may is none. No frequencies, no keys: no pair that matches
-   is lost, whatever the words, the size of the corpus or of a family of texts.
-3. The classes are cut into blocks by hash, each pair of blocks is compared in a task of its
-   own, among texts of fitting lengths only: 2 to 4 nanoseconds a pair, and the work grows
-   with the square of the number of classes.
-4. In pairs that remain, words are counted with repeats.
+1. One hash function gives every element a value; elements that many texts hold get values
+   in higher bands, the more the higher. Any order does for the result; this one keeps the
+   lists of step 2 short. Texts with equal multisets (128 bits of a digest) are one class;
+   all later steps work on one text per class, so copies cost nothing however many.
+2. The sketch of a class with n elements holds its k smallest values, where k is one more
+   than the number of elements that a match may lack. Of two texts that match, the smallest
+   common value is in both sketches: inverted lists of the retained values miss no pair,
+   whatever the words, the size of the corpus or of a family of texts.
+3. Lists of more than ``most`` classes are dealt to cells (``cells.spread``). In a list,
+   pairs of fitting lengths are compared by ``BITS`` parity bits of the same hash values:
+   two texts that differ in d elements differ in at most d of them. The places of the common
+   value in both sketches bound the difference likewise.
+4. Union sketch: below the smaller of their largest retained values the union of two
+   sketches holds all elements of both texts. The elements it shows in only one of them are
+   differences; a pair that has more than a match may have is dropped.
+5. In pairs that remain, the words of both texts are counted with repeats.
 
 Nulls and texts under ``min_words`` match nothing; repeated rows count once; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; other columns are ignored. Of texts over about 200 words the parity
+bits tell little; the sketches and the count decide there.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -30,21 +35,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.stage import Stage
+from .cells import spread
 
-BITS = 512
-TILE = 16384
-HEAVY = 0.002
-LAST = 1e30  # above every rank
-COMMON = 2.0  # bits: found in more than a quarter of the texts
+WORDS, BITS = 3, 192
+HEAVY = 0.0005
+LOW = (1 << 56) - 1  # the part of a value that tells elements of a band apart
+SHORT, TILE = 64, 64
 
 
 class Elements:
-    """Hashes of (word, occurrence); remembers those of the words seen, up to a bound."""
+    """Hashes (63 bits) of (word, occurrence); remembers those of the words seen, up to a bound."""
 
     def __init__(self) -> None:
         self.known: dict = {}
@@ -52,10 +56,10 @@ class Elements:
     def hash_of(self, w: str, i: int) -> int:
         return xxhash.xxh64_intdigest(w, i) >> 1
 
-    def of(self, words: list[str]) -> list:
+    def of(self, words: list[str]) -> list[int]:
         known, seen, out = self.known, {}, []
         if len(known) > 500_000:
-            self.forget()
+            known.clear()
         for w in words:
             i = seen.get(w, 0)
             seen[w] = i + 1
@@ -66,88 +70,22 @@ class Elements:
             out.append(x)
         return out
 
-    def forget(self) -> None:
-        self.known.clear()
 
+class Values(Elements):
+    """Values of elements: the band above the low bits of the hash."""
 
-def class_of(elements: list[int]) -> int:
-    """One number for equal multisets: 55 bits of the sum of the elements' hashes, then the length (up to 255) in 8 bits."""
-    return (sum(elements) * 0x9E3779B97F4A7C15 >> 9 & (1 << 55) - 1) << 8 | min(len(elements), 255)
-
-
-class Sketcher(Elements):
-    """Weighted bottom-k sketches and their runs, one text at a time. An element is known by its rank, a 64-bit float.
-
-    ``bits`` holds the rarity of the elements that are not ``rare``; ``need`` is the rarity of a run.
-    """
-
-    def __init__(self, k: int, bits: dict[int, float], rare: float, need: float):
+    def __init__(self, bands: dict[int, int]):
         super().__init__()
-        self.k, self.bits, self.rare, self.need = k, bits, rare, need
-        self.weights: dict[float, float] = {}
+        self.bands = bands
 
-    def hash_of(self, w: str, i: int) -> float:
-        """The rank; the common elements rank last."""
+    def hash_of(self, w: str, i: int) -> int:
         h = super().hash_of(w, i)
-        weight = self.bits.get(h, self.rare)
-        rank = -math.log((h + 1) / 2.0**63) / weight if weight >= COMMON else LAST * (1 + h / 2.0**63)
-        if weight != self.rare:
-            self.weights[rank] = weight
-        return rank
-
-    def form(self, words: list[str]) -> list[float]:
-        """The elements in order of rank."""
-        return sorted(self.of(words))
-
-    def runs(self, s: list[float], need: float) -> tuple[list[tuple[int, int]], float]:
-        """(start, end) of the runs of ``s`` that hold ``need`` bits, and the bits of all of ``s``."""
-        weight_of, rare = self.weights.get, self.rare
-        weights = [weight_of(x, rare) for x in s]
-        out, end, have, n = [], 0, 0.0, len(s)
-        for start, weight in enumerate(weights):
-            while have < need and end < n:
-                have += weights[end]
-                end += 1
-            if have < need:
-                break
-            out.append((start, end))
-            have -= weight
-        return out, sum(weights)
-
-    def spans(self, s: list[float]) -> list[tuple[int, int]]:
-        """The runs that stand for a form (of a text, or its first ``k`` elements).
-
-        A form with few bits gets shorter runs too, one with hardly any also the single
-        elements of its rarest fifth (and one more), one of which any match shares.
-        """
-        out, bits = self.runs(s, self.need)
-        if bits < 4 * self.need:
-            out = out + self.runs(s, self.need / 2)[0]
-            if bits < self.need:
-                out += [(i, i + 1) for i in range(len(s) - -(-4 * len(s) // 5) + 1)]
-        return out
-
-
-def _classes(min_words: int):
-    """(id, text) to (cid, id, text) of each text with enough words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        elements = Elements()
-        for b in batches:
-            found = [elements.of(t.split()) for t in b.column(1).to_pylist()]
-            cid = pa.array([class_of(e) for e in found], pa.int64())
-            whole = pa.RecordBatch.from_arrays([cid, b.column(0), b.column(1)], names=["cid", "id", "text"])
-            yield whole.filter(pa.array([len(e) >= min_words for e in found], pa.bool_()))
-
-    return run
+        return self.bands.get(h, 0) << 56 | h & LOW
 
 
-def classified(texts: DataFrame, stage: Stage, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """(members, classes) of ``texts`` (id, text) with enough words: cid, id of each text; cid, text of each class. Both written."""
-    usable = texts.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", "text")
-    schema = StructType([StructField("cid", LongType()), StructField("id", usable.schema["id"].dataType), StructField("text", StringType())])
-    rows = stage.put(usable.mapInArrow(_classes(min_words), schema), "texts", compression="zstd")
-    return rows.select("cid", "id").distinct(), stage.put(rows.select("cid", "text").dropDuplicates(["cid"]), "classes", compression="zstd")
+def digest_of(words: list[str]) -> bytes:
+    """128 bits for a multiset of words."""
+    return xxhash.xxh3_128_digest(" ".join(sorted(words)))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +95,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.int64()), pa.array(count.values(), pa.int64())], names=["h", "n"])
 
     for b in batches:
+        count[-1] += b.num_rows
         for t in b.column(0).to_pylist():
             count.update(elements.of(t.split()))
         if len(count) > 1_000_000:
@@ -165,168 +104,194 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield put()
 
 
-def element_counts(texts: DataFrame) -> DataFrame:
-    """h, n: in how many of ``texts`` (text) each element stands."""
-    return texts.select("text").mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+def element_bands(texts: DataFrame) -> dict[int, int]:
+    """The bands of the elements that stand in a share of at least ``HEAVY`` of ``texts`` (text): hash -> 1 to 127.
+
+    At most (mean length / HEAVY) of them, whatever the number of texts; all others have band 0.
+    """
+    counts = texts.select("text").mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    total = counts.where("h = -1").agg(F.max("n")).first()[0] or 0
+    least = max(2.0, HEAVY * total)
+    steps = 126 / max(1.0, math.log2(1 / HEAVY))
+    return {r["h"]: 1 + min(126, int(steps * math.log2(r["n"] / least))) for r in counts.where(F.col("n") >= least).where("h >= 0").collect()}
 
 
-def signatures(found: list[list[int]]) -> np.ndarray:
-    """A row of ``BITS`` bits, in bytes, for each list of elements' hashes."""
+def parity(found: list[list[int]]) -> np.ndarray:
+    """``WORDS`` columns of parity bits, one row for each list of values: each value flips one bit."""
     n = len(found)
     row = np.repeat(np.arange(n), [len(f) for f in found])
-    bit = np.fromiter(itertools.chain.from_iterable(found), np.int64, len(row)) >> 20 & BITS - 1
+    flat = np.fromiter((x for f in found for x in f), np.int64, len(row))
+    bit = (flat & LOW) % BITS
     odd = np.bincount(row * BITS + bit, minlength=n * BITS) & 1
-    return np.packbits(odd.reshape(n, BITS).astype(np.uint8), axis=1)
+    return np.packbits(odd.reshape(n, BITS).astype(np.uint8), axis=1).view(np.int64)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, text) to (cid, size, signature)."""
-    elements = Elements()
-    for b in batches:
-        for at in range(0, b.num_rows, 2000):
-            part = b.slice(at, 2000)
-            found = [elements.of(t.split()) for t in part.column(1).to_pylist()]
-            size = pa.array([len(f) for f in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array([x.tobytes() for x in signatures(found)], pa.binary())], names=["cid", "size", "signature"])
-
-
-def signed(classes: DataFrame, stage: Stage) -> DataFrame:
-    """cid, size, signature of ``classes`` (cid, text), written."""
-    return stage.put(classes.select("cid", "text").mapInArrow(_signed, "cid long, size int, signature binary"), "signatures")
-
-
-class Block:
-    """Signatures in order of length, from a table with cid, size, signature."""
-
-    def __init__(self, table: pa.Table):
-        size = table.column("size").to_numpy()
-        order = np.argsort(size, kind="stable")
-        self.cid, self.size = table.column("cid").to_numpy()[order], size[order].astype(np.int64)
-        words = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint64).reshape(len(size), BITS // 64)
-        self.rows = words[order]
-        self.columns = np.ascontiguousarray(self.rows.T)
-
-    def near(self, other: Block, top: int, bottom: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(i, positions in ``other``) that may match; with itself, each pair once.
-
-        Tiles of ``other`` and the arrays of a step are small enough for a core's cache.
-        """
-        xor, count, differ, near = (np.empty(TILE, t) for t in (np.uint64, np.uint8, np.uint8, np.bool_))
-        for tile in range(0, len(other.size), TILE):
-            sizes = other.size[tile : tile + TILE]
-            columns = [np.ascontiguousarray(c[tile : tile + TILE]) for c in other.columns[:4]]
-            last = lo = hi = -1
-            begin = int(np.searchsorted(self.size, -(-sizes[0] * top // bottom)))
-            end = int(np.searchsorted(self.size, sizes[-1] * bottom // top, side="right"))
-            if other is self:
-                end = min(end, tile + len(sizes))
-            for i in range(begin, end):
-                size = int(self.size[i])
-                if size != last:
-                    last = size
-                    lo = int(np.searchsorted(sizes, -(-size * top // bottom)))
-                    hi = int(np.searchsorted(sizes, size * bottom // top, side="right"))
-                    theirs = sizes[lo:hi]
-                    # Elements in which a match of these lengths may differ.
-                    most = size + theirs - 2 * -(-np.maximum(theirs, size) * top // bottom)
-                    least = np.minimum(most, 255).astype(np.uint8)
-                    few = range(1, 4)
-                start = max(lo, i + 1 - tile) if other is self else lo
-                n = hi - start
-                if n <= 0:
-                    continue
-                mine, x, c, d = self.rows[i], xor[:n], count[:n], differ[:n]
-                np.bitwise_count(np.bitwise_xor(columns[0][start:hi], mine[0], out=x), out=d)
-                for w in few:  # a sum past 255 begins again at 0, which lets pairs through but drops none
-                    np.add(d, np.bitwise_count(np.bitwise_xor(columns[w][start:hi], mine[w], out=x), out=c), out=d)
-                at = np.flatnonzero(np.less_equal(d, least[start - lo :], out=near[:n]))
-                if len(at):
-                    at = at[np.bitwise_count(other.rows[tile + start + at] ^ mine).sum(axis=1, dtype=np.int64) <= most[start - lo + at]]
-                    if len(at):
-                        yield i, tile + start + at
-
-
-def meet(top: int, bottom: int, within: bool):
-    """Candidates (a, b) of a block of each side; ``within`` one set of classes, blocks with the same number are one and a < b."""
-
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        if left.num_rows and right.num_rows:
-            x = Block(left)
-            y = x if within and key[0].as_py() == key[1].as_py() else Block(right)
-            for i, at in x.near(y, top, bottom):
-                a.append(np.full(len(at), x.cid[i]))
-                b.append(y.cid[at])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)} if within else {"a": a, "b": b})
+def _sketch(min_words: int, top: int, bottom: int, bands: dict[int, int]):
+    """(id, text) to digest, id, size, sketch and parity bits of each text with enough words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = Values(bands)
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                words = [t.split() for t in part.column(1).to_pylist()]
+                enough = [len(w) >= min_words for w in words]
+                words = [w for w in words if len(w) >= min_words]
+                found = [values.of(w) for w in words]
+                kept = [sorted(f)[: len(f) - -(-top * len(f) // bottom) + 1] for f in found]
+                bits = parity(found) if found else np.empty((0, WORDS), np.int64)
+                ids = part.column(0).filter(pa.array(enough, pa.bool_()))
+                columns = [pa.array([digest_of(w) for w in words], pa.binary()), ids, pa.array([len(w) for w in words], pa.int32()), pa.array(kept, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS)]], names=["digest", "id", "size", "sketch", *PARITY])
 
     return run
 
 
-def blocks_of(n: int) -> int:
-    """Blocks for ``n`` classes: enough for a few tasks, none over 250,000."""
-    return max(1, min(4, -(-n // 5000)), -(-n // 250_000))
+PARITY = [f"p{k}" for k in range(WORDS)]
 
 
-def pairs_in_sorted_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, cid): pairs a < b of different cids within each key, in bounded batches.
+class Classes:
+    """``members`` (cid, id) of the usable texts; ``classes``: cid, digest, rep (an id that holds the text) and ``columns``. Both written.
 
-    An open list is carried to the next batch as the distinct members seen so far; each
-    later member is paired with them as it comes.
+    ``make`` turns batches (id, text) into digest, id and ``columns``, which depend on the multiset of words alone.
     """
-    last, members = None, np.empty(0, np.int64)
+
+    def __init__(self, texts: DataFrame, stage: Stage, make, columns: dict[str, str]):
+        self.texts = texts
+        schema = ", ".join(["digest binary", f"id {dict(texts.dtypes)['id']}", *(f"{c} {kind}" for c, kind in columns.items())])
+        rows = stage.put(texts.mapInArrow(make, schema), "rows")
+        one = rows.groupBy("digest").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in columns])
+        self.classes = stage.put(one.withColumn("cid", F.monotonically_increasing_id()), "classes")
+        self.members = stage.put(rows.select("digest", "id").distinct().join(self.classes.select("digest", "cid"), "digest").select("cid", "id"), "members")
+        stage.drop(rows)
+
+    def texts_of(self, cids: DataFrame) -> DataFrame:
+        """cid, text of the classes in ``cids`` (cid, unique)."""
+        wanted = self.classes.join(cids, "cid", "left_semi").select("cid", F.col("rep").alias("id"), "digest")
+        held = self.texts.join(wanted, "id").select("cid", "digest", "text")
+        return held.mapInArrow(_with_digest, "cid long, text string").dropDuplicates(["cid"])
+
+
+def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cid, digest, text) whose text has the digest: an id may hold other texts too."""
     for b in batches:
-        keys, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(keys):
-            continue
-        if last is not None and keys[0] == last:
-            keys = np.concatenate([np.full(len(members), last), keys])
-            ids = np.concatenate([members, ids])
-            old = len(members)
-        else:
-            old = 0
-        fresh = np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])]
-        old = int(fresh[:old].sum())
-        keys, ids = keys[fresh], ids[fresh]
-        bounds = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-        left, right, held = [], [], 0
-        for s, e in zip(bounds[:-1], bounds[1:]):
-            if e - s < 2:
+        same = [digest_of(t.split()) == d for d, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        yield b.select([0, 2]).filter(pa.array(same, pa.bool_()))
+
+
+def usable(texts: DataFrame) -> DataFrame:
+    return texts.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", "text")
+
+
+class Lists:
+    """Rows of inverted lists, sorted by key: pairs of positions that may match.
+
+    Columns of ``rows``: key, cid, size, place (of the common value in the sketch), part, parity bits.
+    """
+
+    def __init__(self, top: int, bottom: int):
+        self.top, self.bottom = top, bottom
+
+    def fit(self, rows: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs (i, j) may match, by lengths, places, parts and parity bits."""
+        _, cid, size, place, part = rows[:5]
+        need = -(-np.maximum(size[i], size[j]) * self.top // self.bottom)
+        most = size[i] + size[j] - 2 * need
+        differ = sum(np.bitwise_count((b[i] ^ b[j]).view(np.uint64)).astype(np.int64) for b in rows[5:])
+        return (np.minimum(size[i], size[j]) >= need) & (differ <= most) & (place[i] + place[j] <= most) & ((part[i] == 0) | (part[i] != part[j])) & (cid[i] != cid[j])
+
+    def short(self, rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All lists at once, by the distance of two rows in their list."""
+        key = rows[0]
+        i = np.arange(len(key) - 1)
+        d = 1
+        while True:
+            i = i[i + d < len(key)]
+            i = i[key[i] == key[i + d]]
+            if not len(i):
+                return
+            ok = self.fit(rows, i, i + d)
+            yield i[ok], i[ok] + d
+            d += 1
+
+    def long(self, rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """One list, in order of length: tiles of rows against the rows of fitting length behind."""
+        size, bits = rows[2], [b.view(np.uint64) for b in rows[5:]]  # bits of signed numbers would be counted without their sign
+        n = len(size)
+        spare = size - 2 * -(-size * self.top // self.bottom)  # plus the shorter length: elements in which a match may differ
+        for i in range(0, n, TILE):
+            end = min(i + TILE, n)
+            largest = int(size[end - 1])
+            stop = int(np.searchsorted(size, largest * self.bottom // self.top, side="right"))
+            if stop <= i + 1:
                 continue
-            for i in range(max(s + 1, old if s == 0 else 0), e):
-                left.append(ids[s:i])
-                right.append(np.full(i - s, ids[i]))
-                held += i - s
-                if held > 100_000:
-                    yield pa.RecordBatch.from_arrays([np.concatenate(left), np.concatenate(right)], names=["a", "b"])
-                    left, right, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([np.concatenate(left), np.concatenate(right)], names=["a", "b"])
-        last, members = keys[-1], ids[bounds[-2] :].copy()
+            least = np.clip(spare[i:stop] + largest, 0, 255).astype(np.uint8)
+            differ = None
+            for b in bits:
+                c = np.bitwise_count(b[i:end, None] ^ b[None, i:stop])
+                differ = c if differ is None else np.add(differ, c, out=differ)
+            at = np.flatnonzero(differ <= least)
+            if len(at):
+                x, y = np.divmod(at, stop - i)
+                keep = x < y
+                x, y = x[keep] + i, y[keep] + i
+                ok = self.fit(rows, x, y)
+                yield x[ok], y[ok]
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key, cid = rows[0], rows[1]
+            bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+            length = np.diff(bounds)
+            few = np.repeat(length <= SHORT, length)
+            found = [self.short([c[few] for c in rows])] if few.any() else []
+            names = [cid[few]] * len(found)
+            for s, e in zip(bounds[:-1][length > SHORT], bounds[1:][length > SHORT]):
+                order = s + np.argsort(rows[2][s:e], kind="stable")
+                one = [c[order] for c in rows]
+                found.append(self.long(one))
+                names.append(one[1])
+            for met, ids in zip(found, names):
+                for i, j in met:
+                    if len(i):
+                        a, b = ids[i], ids[j]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = [b.column(k).to_numpy().astype(np.int64, copy=False) for k in range(b.num_columns)]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last list may go on in the next batch
+            held = [c[cut:].copy() for c in rows]
+            if cut:
+                yield from pairs([c[:cut] for c in rows])
+        if held is not None:
+            yield from pairs(held)
+
+
+def may_match(top: int, bottom: int) -> Column:
+    """Union sketch of the columns sketch_a, sketch_b (with size_a, size_b): no more differences than a match may have."""
+    reach = F.least(F.element_at("sketch_a", -1), F.element_at("sketch_b", -1))
+    known = [F.filter(c, lambda x: x <= reach) for c in ("sketch_a", "sketch_b")]
+    differ = F.size(known[0]) + F.size(known[1]) - 2 * F.size(F.array_intersect(*known))
+    need = -F.floor(-F.greatest("size_a", "size_b") * F.lit(top) / F.lit(bottom))
+    return differ <= F.col("size_a") + F.col("size_b") - 2 * need
 
 
 def _verify(top: int, bottom: int):
     """Keeps the pairs (a, b, x, y) that match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple[int, Counter]] = {}
-
-        def bag(c: int, t: str) -> tuple[int, Counter]:
-            """Length and words of a text."""
-            got = known.get(c)
-            if got is None:
-                if len(known) > 3000:
-                    known.clear()
-                ws = t.split()
-                got = known[c] = (len(ws), Counter(ws))
-            return got
-
         for b in batches:
             keep = []
-            for i, j, x, y in zip(*(b.column(c).to_pylist() for c in range(4))):
-                (m, u), (n, v) = bag(i, x), bag(j, y)
-                keep.append(sum([min(c, v[w]) for w, c in u.items() if w in v]) * bottom >= top * max(m, n))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                u, v = x.split(), y.split()
+                keep.append((Counter(u) & Counter(v)).total() * bottom >= top * max(len(u), len(v)))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -338,29 +303,29 @@ class NearDuplicates:
         self.members, self.links = members, links
 
 
-def near_duplicates(texts: DataFrame, *, min_words: int = 20, share: tuple[int, int] = (4, 5)) -> NearDuplicates:
+def near_duplicates(texts: DataFrame, *, min_words: int = 20, share: tuple[int, int] = (4, 5), most: int = 8192) -> NearDuplicates:
     """Classes and links of ``texts`` (id, text); ids need not be unique, rows may repeat.
 
     ``share`` is a fraction of integers, so that the boundary is exact. No link is missed.
+    Lists of more than ``most`` classes are split.
     """
-    top, bottom = share
-    stage = Stage(texts.sparkSession)
-    members, classes = classified(texts, stage, min_words)
-    signs = signed(classes, stage)
-    n = blocks_of(signs.count())
-    block = F.pmod(F.xxhash64("cid"), F.lit(n)).cast("int")
-    every = lambda low, high: F.explode(F.sequence(low, high))
-    left = signs.withColumn("s", block).select("s", every(F.col("s"), F.lit(n - 1)).alias("t"), "cid", "size", "signature")
-    # A block meets itself as the left side alone; one row tells that there is a right side.
-    right = signs.withColumn("t", block).select(every(F.lit(0), F.col("t")).alias("s"), "t", "cid", "size", "signature")
-    right = right.where("s < t").unionByName(right.where("s = t").groupBy("s", "t").agg(*[F.first(c).alias(c) for c in ("cid", "size", "signature")]))
-    candidates = left.groupBy("s", "t").cogroup(right.groupBy("s", "t")).applyInArrow(meet(top, bottom, True), "a long, b long")
-    candidates = stage.put(candidates, "candidates")
-
-    both = candidates.join(classes.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a")
-    both = both.join(classes.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    links = stage.put(both.mapInArrow(_verify(top, bottom), "a long, b long"), "links")
-    return NearDuplicates(members, links)
+    stage, rows = Stage(texts.sparkSession), usable(texts)
+    of = Classes(rows, stage, _sketch(min_words, *share, element_bands(rows)), {"size": "int", "sketch": "array<bigint>"} | dict.fromkeys(PARITY, "bigint"))
+    lists = of.classes.select("cid", "size", *PARITY, F.posexplode("sketch").alias("place", "key"))
+    lists = spread(lists, "key", "cid", most).select("key", "cid", "size", "place", "part", *PARITY)
+    met = lists.repartition("key").sortWithinPartitions("key").mapInArrow(Lists(*share), "a long, b long").distinct()
+    met = stage.put(met, "met")
+
+    end = lambda x: of.classes.select(F.col("cid").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    candidates = stage.put(met.join(end("a"), "a").join(end("b"), "b").where(may_match(*share)).select("a", "b"), "candidates")
+    stage.drop(met)
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    found = stage.put(of.texts_of(wanted), "texts")
+    both = candidates.join(found.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a")
+    both = both.join(found.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    links = stage.put(both.mapInArrow(_verify(*share), "a long, b long"), "links")
+    stage.drop(candidates, found, of.classes)
+    return NearDuplicates(of.members, links)
 
 
 def linked_pairs(found: NearDuplicates) -> DataFrame:

@@ -1,21 +1,25 @@
 """Problem 5: evaluation records that also stand in the training split, exactly or almost.
 
 Two texts are almost the same if both have ``min_words`` words or more and share at least
-``share`` of the longer one's, counted with repeats (as in ``near_duplicates``). They are
-found as there: texts with equal words are one class first, signatures of all classes of one
-side are compared with all of the other, and the texts so found are compared word by word.
-No pair is missed.
-
-Coverage tells how much of an evaluation text stands in common passages. A text is normalised
-to its elements (word, how often it came before) in order of rank, as ``Sketcher`` gives them.
-The passages of an evaluation text are runs of its normal form that hold enough bits of rarity
-(by counts over the classes of both sides, each once a side); those that stand in the normal
-form of the training text, merged, give the coverage. A pair that shares no passage has the
-share of common elements instead.
-
-Shards hold about ``shard`` classes, splits four times as many; every shard meets every split
-in a task of its own: |train| x shards + |eval| x splits rows of signatures are moved, and no
-task holds more than one shard and one split, whatever the skew.
+``share`` of the longer one's, counted with repeats (as in ``near_duplicates``).
+
+1. Texts with equal words are one class. A class is normalised to its elements (word, how
+   often it came before) in order of their values, rare ones first: so texts with their
+   words rearranged have the same form.
+2. The form of an evaluation class is cut into passages of two elements. A word that a match
+   lacks, or one that it has besides, breaks at most one of them; a match of n words differs
+   in at most 2 * floor(n / 5) elements, and n // 2 passages are more. So every match holds
+   at least (passages - differences) of the passages unbroken, never none.
+3. Evaluation classes are dealt to shards of about ``shard`` elements. An Aho-Corasick
+   automaton holds the passages of a shard and scans the forms of all training classes;
+   where the passages found are as many as a match of these lengths must hold, the pair is a
+   candidate.
+4. Candidates are compared word by word. Matched intervals (two elements or more that follow
+   each other in both forms), merged, give the coverage of the evaluation record.
+
+The training forms are cut into splits of about ``split`` elements, so that no task holds
+more than one shard and one split; each form goes to every shard: that suits evaluation
+sets, which are small beside a corpus.
 
 Null and short texts match nothing; repeated rows count once; an empty table gives an empty
 result; other columns are ignored.
@@ -23,16 +27,19 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stage import Stage
-from .near_duplicates import HEAVY, Sketcher, classified, element_counts, meet, signed
+from .near_duplicates import Classes, Values, digest_of, element_bands, usable
+
+PASSAGE = 2
 
 
 def merged_length(intervals: list[tuple[int, int]]) -> int:
@@ -44,11 +51,72 @@ def merged_length(intervals: list[tuple[int, int]]) -> int:
     return total
 
 
-def _covered(k: int, bits: dict[int, float], rare: float, need: float, top: int, bottom: int):
+def _forms(min_words: int, bands: dict[int, int]):
+    """(id, text) to digest, id and form, the sorted values folded to 32 bits, of each text with enough words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = Values(bands)
+        for b in batches:
+            words = [t.split() for t in b.column(1).to_pylist()]
+            enough = pa.array([len(w) >= min_words for w in words], pa.bool_())
+            words = [w for w in words if len(w) >= min_words]
+            sizes = np.cumsum([0, *(len(w) for w in words)], dtype=np.int32)
+            flat = np.fromiter((v for w in words for v in sorted(values.of(w))), np.int64, int(sizes[-1]))
+            form = pa.ListArray.from_arrays(pa.array(sizes), pa.array((flat ^ flat >> 32).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array([digest_of(w) for w in words], pa.binary()), b.column(0).filter(enough), form], names=["digest", "id", "form"])
+
+    return run
+
+
+def _sequences(table: pa.Table) -> list[tuple[int, ...]]:
+    """The forms of a table as tuples of unsigned numbers, which is what an automaton takes."""
+    lists = table.column("form").combine_chunks()
+    at, flat = lists.offsets.to_numpy().tolist(), lists.values.to_numpy().view(np.uint32).tolist()
+    return [tuple(flat[s:e]) for s, e in zip(at, at[1:])]
+
+
+def _scan(top: int, bottom: int):
+    """Candidates (a, b) of a shard of evaluation forms and a split of training forms."""
+
+    def run(key: tuple, shard: pa.Table, split: pa.Table) -> pa.Table:
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if shard.num_rows and split.num_rows:
+            held = defaultdict(list)
+            forms = _sequences(shard)
+            for i, form in enumerate(forms):
+                for s in range(0, len(form) - 1, PASSAGE):
+                    held[form[s : s + PASSAGE]].append(i)
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+            owners = []
+            for passage, who in held.items():
+                automaton.add_word(passage, len(owners))
+                owners.append(np.array(who))
+            held.clear()
+            automaton.make_automaton()
+            size = np.array([len(f) for f in forms])
+            ids, others = shard.column("cid").to_numpy(), split.column("cid").to_numpy()
+            must: dict[int, np.ndarray] = {}
+            for j, form in enumerate(_sequences(split)):
+                n = len(form)
+                if n not in must:
+                    need = -(-np.maximum(size, n) * top // bottom)
+                    must[n] = np.where(np.minimum(size, n) >= need, size // PASSAGE - (size + n - 2 * need), n + 1)
+                hits = [owners[k] for _, k in automaton.iter(form)]
+                if hits:
+                    found = np.flatnonzero(np.bincount(np.concatenate(hits), minlength=len(size)) >= must[n])
+                    if len(found):
+                        a.append(ids[found])
+                        b.append(np.full(len(found), others[j]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
+def _covered(top: int, bottom: int, bands: dict[int, int]):
     """(eval_cid, train_cid, x, y) to the pairs that match, with their coverage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher(k, bits, rare, need)
+        values = Values(bands)
         for b in batches:
             keep, coverage = [], []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
@@ -56,40 +124,40 @@ def _covered(k: int, bits: dict[int, float], rare: float, need: float, top: int,
                 ok = (Counter(mine) & Counter(theirs)).total() * bottom >= top * max(len(mine), len(theirs))
                 keep.append(ok)
                 if ok:
-                    whole, other = sketcher.form(mine), sketcher.form(theirs)
-                    place, form = {e: i for i, e in enumerate(other)}, whole[:k]
-                    hits = [(s, t) for s, t in sketcher.spans(form) if form[s] in place and other[place[form[s]] : place[form[s]] + t - s] == form[s:t]]
-                    coverage.append(merged_length(hits) / len(form) if hits else sum(e in place for e in whole) / len(whole))
+                    form = sorted(values.of(mine))
+                    place = {v: i for i, v in enumerate(sorted(values.of(theirs)))}
+                    at = [place.get(v, -2 * len(place)) for v in form]
+                    coverage.append(merged_length([(i, i + 2) for i, (s, t) in enumerate(zip(at, at[1:])) if t == s + 1]) / len(form))
             kept = b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(coverage, pa.float64())], names=["eval_cid", "train_cid", "coverage"])
 
     return run
 
 
-def overlapping_texts(evaluation: DataFrame, training: DataFrame, *, min_words: int = 20, share: tuple[int, int] = (4, 5), k: int = 48, slack: float = 3.0, shard: int = 12_000) -> tuple[DataFrame, DataFrame]:
+def overlapping_texts(evaluation: DataFrame, training: DataFrame, *, min_words: int = 20, share: tuple[int, int] = (4, 5), shard: int = 600_000, split: int = 2_500_000) -> tuple[DataFrame, DataFrame]:
     """(members, found): cid, id of each evaluation text; eval_cid, train_cid, coverage of each pair of classes.
 
-    Both inputs have id and text; ids need not be unique. ``k`` and ``slack`` set the
-    passages of the coverage and have no part in what is found.
+    Both inputs have id and text; ids need not be unique. A ``share`` or ``min_words`` for
+    which two-element passages don't do (three quarters or less) is refused.
     """
     top, bottom = share
+    if any(n // PASSAGE <= 2 * (n - -(-n * top // bottom)) for n in range(min_words, min_words + 4 * bottom)):
+        raise ValueError("passages of two elements need a larger share or more words")
     stage = Stage(evaluation.sparkSession)
-    (members, ev), (_, tr) = (classified(t.select("id", "text").distinct(), stage, min_words) for t in (evaluation, training))
-    n_ev, n_tr = ev.count(), tr.count()
-    shards, splits = max(1, -(-n_ev // shard)), max(1, -(-n_tr // (4 * shard)))
+    held, corpus = (usable(t).distinct() for t in (evaluation, training))
+    bands = element_bands(held.select("text").unionAll(corpus.select("text")))
+    ev, tr = (Classes(t, stage, _forms(min_words, bands), {"form": "array<int>"}) for t in (held, corpus))
+    total = lambda c: c.classes.agg(F.sum(F.size("form"))).first()[0] or 0
+    shards, splits = max(1, -(-total(ev) // shard)), max(1, -(-total(tr) // split))
     block = lambda n: F.pmod(F.xxhash64("cid"), F.lit(n)).cast("int")
     everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = signed(ev, stage).select(block(shards).alias("s"), everywhere(splits).alias("t"), "cid", "size", "signature")
-    right = signed(tr, stage).select(everywhere(shards).alias("s"), block(splits).alias("t"), "cid", "size", "signature")
-    met = left.groupBy("s", "t").cogroup(right.groupBy("s", "t")).applyInArrow(meet(top, bottom, False), "a long, b long")
-    met = stage.put(met, "candidates")
-
-    n = n_ev + n_tr
-    counts = element_counts(ev.select("text").unionAll(tr.select("text")))
-    heavy = counts.where(F.col("n") >= max(2.0, HEAVY * n)).collect()  # at most mean length / HEAVY rows
-    bits = {r["h"]: math.log2(max(n, 2) / r["n"]) for r in heavy}
-    rare, need = -math.log2(HEAVY), math.log2(max(n, 2)) + slack
-    both = met.join(ev.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a")
-    both = both.join(tr.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    found = both.mapInArrow(_covered(k, bits, rare, need, top, bottom), "eval_cid long, train_cid long, coverage double")
-    return members, stage.put(found, "found")
+    left = ev.classes.select(block(shards).alias("s"), everywhere(splits).alias("t"), "cid", "form")
+    right = tr.classes.select(everywhere(shards).alias("s"), block(splits).alias("t"), "cid", "form")
+    met = stage.put(left.groupBy("s", "t").cogroup(right.groupBy("s", "t")).applyInArrow(_scan(top, bottom), "a long, b long"), "candidates")
+
+    texts = [stage.put(c.texts_of(met.select(F.col(x).alias("cid")).distinct()), "texts") for c, x in ((ev, "a"), (tr, "b"))]
+    both = met.join(texts[0].select(F.col("cid").alias("a"), F.col("text").alias("x")), "a")
+    both = both.join(texts[1].select(F.col("cid").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    found = stage.put(both.mapInArrow(_covered(top, bottom, bands), "eval_cid long, train_cid long, coverage double"), "found")
+    stage.drop(met, *texts, ev.classes, tr.classes, tr.members)
+    return ev.members, found
