@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYS_TO_DRIVER = 100_000
 
 
-def spread(rows: DataFrame, key: str, by: str, most: int) -> DataFrame:
+def spread(rows: DataFrame, key: str, by: str, most: int, may_be_hot: Column | None = None) -> DataFrame:
     """``rows`` with ``key`` replaced by the number of a cell, and ``part``.
 
     A key with up to ``most`` rows is one cell, part 0. A larger one is cut into parts by the
@@ -16,8 +16,9 @@ def spread(rows: DataFrame, key: str, by: str, most: int) -> DataFrame:
     are to meet) and each part one of its own (part 0). Every pair of rows with different
     ``by`` so meets in exactly one cell, and no cell has more than about twice ``most`` rows.
     The hot keys are sent along with the tasks up to ``KEYS_TO_DRIVER`` of them, else joined.
+    ``may_be_hot`` spares the counting of rows whose key certainly isn't.
     """
-    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
+    hot = (rows if may_be_hot is None else rows.where(may_be_hot)).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
     some = hot.limit(KEYS_TO_DRIVER + 1).collect()
     if not some:
         return rows.withColumn("part", F.lit(0))

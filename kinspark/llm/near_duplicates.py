@@ -28,6 +28,8 @@ bits tell little; the sketches and the count decide there.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -43,86 +45,90 @@ from .cells import spread
 
 WORDS, BITS = 3, 192
 HEAVY = 0.0005
-LOW = (1 << 56) - 1  # the part of a value that tells elements of a band apart
-SHORT, TILE = 64, 64
+#: A value is band (7 bits), word (32 bits of its hash) and occurrence (24 bits).
+BAND, WORD = 56, 24
+SHORT, TILE, WIDE = 64, 64, 4096
+MEMO = 500_000
 
 
-class Elements:
-    """Hashes (63 bits) of (word, occurrence); remembers those of the words seen, up to a bound."""
+def hash_of(word: str) -> int:
+    return xxhash.xxh3_128_intdigest(word)
 
-    def __init__(self) -> None:
-        self.known: dict = {}
-
-    def hash_of(self, w: str, i: int) -> int:
-        return xxhash.xxh64_intdigest(w, i) >> 1
-
-    def of(self, words: list[str]) -> list[int]:
-        known, seen, out = self.known, {}, []
-        if len(known) > 500_000:
-            known.clear()
-        for w in words:
-            i = seen.get(w, 0)
-            seen[w] = i + 1
-            key = (w, i) if i else w
-            x = known.get(key)
-            if x is None:
-                x = known[key] = self.hash_of(w, i)
-            out.append(x)
-        return out
 
+class _Memo(dict):
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
 
-class Values(Elements):
-    """Values of elements: the band above the low bits of the hash."""
+    def __missing__(self, word: str) -> int:
+        x = self[word] = self.make(word)
+        return x
 
-    def __init__(self, bands: dict[int, int]):
-        super().__init__()
-        self.bands = bands
 
-    def hash_of(self, w: str, i: int) -> int:
-        h = super().hash_of(w, i)
-        return self.bands.get(h, 0) << 56 | h & LOW
+class Values:
+    """Values and digests of texts, given as lists of words; remembers the words seen, up to a bound.
 
+    Words that share 32 bits of their hash count as one, which lets pairs through but loses none.
+    """
 
-def digest_of(words: list[str]) -> bytes:
-    """128 bits for a multiset of words."""
-    return xxhash.xxh3_128_digest(" ".join(sorted(words)))
+    def __init__(self, bands: dict[int, int]):
+        low = (1 << 63) - 1
+        self.number = _Memo(hash_of)
+        self.value = _Memo(lambda w: bands.get((h := hash_of(w)) & low, 0) << BAND | h >> 96 << WORD)
+
+    def of(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets of the texts, and the values of all their elements, ascending in each text."""
+        if len(self.value) > MEMO:
+            self.value.clear()
+        ends = np.cumsum([0, *map(len, texts)])
+        get = self.value.__getitem__
+        flat = np.fromiter(itertools.chain.from_iterable(sorted(map(get, t)) for t in texts), np.int64, int(ends[-1]))
+        fresh = np.ones(len(flat) + 1, bool)
+        fresh[1:-1] = flat[1:] != flat[:-1]
+        fresh[ends] = True
+        at = np.flatnonzero(fresh)
+        return ends, flat + np.arange(len(flat)) - np.repeat(at[:-1], np.diff(at))
+
+    def digest(self, text: list[str]) -> bytes:
+        """128 bits for a multiset of words: the sum of their hashes."""
+        if len(self.number) > MEMO:
+            self.number.clear()
+        return (sum(map(self.number.__getitem__, text)) & (1 << 128) - 1).to_bytes(16)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    elements, count = Elements(), Counter()
+    count: Counter = Counter()
 
     def put() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.int64()), pa.array(count.values(), pa.int64())], names=["h", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([hash_of(w) & (1 << 63) - 1 for w in count], pa.int64()), pa.array(count.values(), pa.int64())], names=["h", "n"])
 
     for b in batches:
-        count[-1] += b.num_rows
         for t in b.column(0).to_pylist():
-            count.update(elements.of(t.split()))
-        if len(count) > 1_000_000:
+            count.update(set(t.split()))
+        if len(count) > MEMO:
             yield put()
             count.clear()
     yield put()
 
 
-def element_bands(texts: DataFrame) -> dict[int, int]:
-    """The bands of the elements that stand in a share of at least ``HEAVY`` of ``texts`` (text): hash -> 1 to 127.
+def word_bands(texts: DataFrame, rare: int = 0) -> tuple[dict[int, int], int]:
+    """The bands of the words that stand in a share of at least ``HEAVY`` of ``texts`` (text): hash -> 1 to 127; the band from which on words stand in ``rare`` texts or more.
 
-    At most (mean length / HEAVY) of them, whatever the number of texts; all others have band 0.
+    At most (mean length / HEAVY) words, whatever the number of texts; all others have band 0.
     """
+    least = max(2.0, HEAVY * texts.count())
     counts = texts.select("text").mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    total = counts.where("h = -1").agg(F.max("n")).first()[0] or 0
-    least = max(2.0, HEAVY * total)
-    steps = 126 / max(1.0, math.log2(1 / HEAVY))
-    return {r["h"]: 1 + min(126, int(steps * math.log2(r["n"] / least))) for r in counts.where(F.col("n") >= least).where("h >= 0").collect()}
-
-
-def parity(found: list[list[int]]) -> np.ndarray:
-    """``WORDS`` columns of parity bits, one row for each list of values: each value flips one bit."""
-    n = len(found)
-    row = np.repeat(np.arange(n), [len(f) for f in found])
-    flat = np.fromiter((x for f in found for x in f), np.int64, len(row))
-    bit = (flat & LOW) % BITS
-    odd = np.bincount(row * BITS + bit, minlength=n * BITS) & 1
+    steps = 126 / math.log2(1 / HEAVY)
+    band = lambda n: 1 + min(126, int(steps * math.log2(n / least)))
+    return {r["h"]: band(r["n"]) for r in counts.where(F.col("n") >= least).collect()}, band(rare) if rare >= least else 0
+
+
+def parity(ends: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """``WORDS`` columns of parity bits, one row for each text: each value flips one bit."""
+    n = len(ends) - 1
+    row = np.repeat(np.arange(n), np.diff(ends))
+    bit = ((flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(BITS)
+    odd = np.bincount(row * BITS + bit.astype(np.int64), minlength=n * BITS) & 1
     return np.packbits(odd.reshape(n, BITS).astype(np.uint8), axis=1).view(np.int64)
 
 
@@ -135,13 +141,15 @@ def _sketch(min_words: int, top: int, bottom: int, bands: dict[int, int]):
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 words = [t.split() for t in part.column(1).to_pylist()]
-                enough = [len(w) >= min_words for w in words]
+                enough = pa.array([len(w) >= min_words for w in words], pa.bool_())
                 words = [w for w in words if len(w) >= min_words]
-                found = [values.of(w) for w in words]
-                kept = [sorted(f)[: len(f) - -(-top * len(f) // bottom) + 1] for f in found]
-                bits = parity(found) if found else np.empty((0, WORDS), np.int64)
-                ids = part.column(0).filter(pa.array(enough, pa.bool_()))
-                columns = [pa.array([digest_of(w) for w in words], pa.binary()), ids, pa.array([len(w) for w in words], pa.int32()), pa.array(kept, pa.list_(pa.int64()))]
+                ends, flat = values.of(words)
+                size = np.diff(ends)
+                kept = size + (-size * top // bottom) + 1
+                place = np.arange(len(flat)) - np.repeat(ends[:-1], size)
+                sketch = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)].astype(np.int32)), pa.array(flat[place < np.repeat(kept, size)]))
+                bits = parity(ends, flat)
+                columns = [pa.array(map(values.digest, words), pa.binary()), part.column(0).filter(enough), pa.array(size.astype(np.int32)), sketch]
                 yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS)]], names=["digest", "id", "size", "sketch", *PARITY])
 
     return run
@@ -165,18 +173,20 @@ class Classes:
         self.members = stage.put(rows.select("digest", "id").distinct().join(self.classes.select("digest", "cid"), "digest").select("cid", "id"), "members")
         stage.drop(rows)
 
-    def texts_of(self, cids: DataFrame) -> DataFrame:
-        """cid, text of the classes in ``cids`` (cid, unique)."""
-        wanted = self.classes.join(cids, "cid", "left_semi").select("cid", F.col("rep").alias("id"), "digest")
-        held = self.texts.join(wanted, "id").select("cid", "digest", "text")
-        return held.mapInArrow(_with_digest, "cid long, text string").dropDuplicates(["cid"])
+    def texts_of(self, cids: DataFrame, *columns: str) -> DataFrame:
+        """cid, ``columns`` and text of the classes in ``cids`` (cid)."""
+        wanted = self.classes.join(cids, "cid", "left_semi").select("cid", F.col("rep").alias("id"), "digest", *columns)
+        held = self.texts.join(wanted, "id").select("digest", "text", "cid", *columns)
+        kinds = ", ".join(f"{c} {k}" for c, k in held.dtypes[1:])
+        return held.mapInArrow(_with_digest, kinds).dropDuplicates(["cid"])
 
 
 def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cid, digest, text) whose text has the digest: an id may hold other texts too."""
+    """Rows (digest, text, ...) whose text has the digest, which goes: an id may hold other texts too."""
+    values = Values({})
     for b in batches:
-        same = [digest_of(t.split()) == d for d, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-        yield b.select([0, 2]).filter(pa.array(same, pa.bool_()))
+        same = [values.digest(t.split()) == d for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        yield b.select(range(1, b.num_columns)).filter(pa.array(same, pa.bool_()))
 
 
 def usable(texts: DataFrame) -> DataFrame:
@@ -192,6 +202,11 @@ class Lists:
     def __init__(self, top: int, bottom: int):
         self.top, self.bottom = top, bottom
 
+    @functools.cached_property
+    def spare(self) -> tuple[np.ndarray, ...]:
+        """Room for the numbers of a tile, used again for each."""
+        return tuple(np.empty(TILE * WIDE, t) for t in (np.uint64, np.uint8, np.uint8))
+
     def fit(self, rows: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Which of the pairs (i, j) may match, by lengths, places, parts and parity bits."""
         _, cid, size, place, part = rows[:5]
@@ -222,21 +237,23 @@ class Lists:
         for i in range(0, n, TILE):
             end = min(i + TILE, n)
             largest = int(size[end - 1])
-            stop = int(np.searchsorted(size, largest * self.bottom // self.top, side="right"))
-            if stop <= i + 1:
-                continue
-            least = np.clip(spare[i:stop] + largest, 0, 255).astype(np.uint8)
-            differ = None
-            for b in bits:
-                c = np.bitwise_count(b[i:end, None] ^ b[None, i:stop])
-                differ = c if differ is None else np.add(differ, c, out=differ)
-            at = np.flatnonzero(differ <= least)
-            if len(at):
-                x, y = np.divmod(at, stop - i)
-                keep = x < y
-                x, y = x[keep] + i, y[keep] + i
-                ok = self.fit(rows, x, y)
-                yield x[ok], y[ok]
+            last = int(np.searchsorted(size, largest * self.bottom // self.top, side="right"))
+            for start in range(i, last, WIDE):
+                stop = min(start + WIDE, last)
+                shape, cells = (end - i, stop - start), (end - i) * (stop - start)
+                mixed, count, differ = (x[:cells].reshape(shape) for x in self.spare)
+                for k, b in enumerate(bits):
+                    np.bitwise_xor(b[i:end, None], b[None, start:stop], out=mixed)
+                    np.bitwise_count(mixed, out=count if k else differ)
+                    if k:
+                        np.add(differ, count, out=differ)
+                at = np.flatnonzero(differ <= np.clip(spare[start:stop] + largest, 0, 255).astype(np.uint8))
+                if len(at):
+                    x, y = np.divmod(at, stop - start)
+                    x, y = x + i, y + start
+                    x, y = x[x < y], y[x < y]
+                    ok = self.fit(rows, x, y)
+                    yield x[ok], y[ok]
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -310,21 +327,18 @@ def near_duplicates(texts: DataFrame, *, min_words: int = 20, share: tuple[int,
     Lists of more than ``most`` classes are split.
     """
     stage, rows = Stage(texts.sparkSession), usable(texts)
-    of = Classes(rows, stage, _sketch(min_words, *share, element_bands(rows)), {"size": "int", "sketch": "array<bigint>"} | dict.fromkeys(PARITY, "bigint"))
+    bands, common = word_bands(rows, most)
+    of = Classes(rows, stage, _sketch(min_words, *share, bands), {"size": "int", "sketch": "array<bigint>"} | dict.fromkeys(PARITY, "bigint"))
     lists = of.classes.select("cid", "size", *PARITY, F.posexplode("sketch").alias("place", "key"))
-    lists = spread(lists, "key", "cid", most).select("key", "cid", "size", "place", "part", *PARITY)
+    lists = spread(lists, "key", "cid", most, F.col("key") >= common << BAND).select("key", "cid", "size", "place", "part", *PARITY)
     met = lists.repartition("key").sortWithinPartitions("key").mapInArrow(Lists(*share), "a long, b long").distinct()
     met = stage.put(met, "met")
 
-    end = lambda x: of.classes.select(F.col("cid").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    candidates = stage.put(met.join(end("a"), "a").join(end("b"), "b").where(may_match(*share)).select("a", "b"), "candidates")
-    stage.drop(met)
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    found = stage.put(of.texts_of(wanted), "texts")
-    both = candidates.join(found.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a")
-    both = both.join(found.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    found = stage.put(of.texts_of(met.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "size", "sketch"), "texts")
+    end = lambda x: found.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "sketch", "text")])
+    both = met.join(end("a"), "a").join(end("b"), "b").where(may_match(*share)).select("a", "b", "text_a", "text_b")
     links = stage.put(both.mapInArrow(_verify(*share), "a long, b long"), "links")
-    stage.drop(candidates, found, of.classes)
+    stage.drop(met, found, of.classes)
     return NearDuplicates(of.members, links)
 
 

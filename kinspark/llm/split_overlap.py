@@ -12,8 +12,8 @@ Two texts are almost the same if both have ``min_words`` words or more and share
    at least (passages - differences) of the passages unbroken, never none.
 3. Evaluation classes are dealt to shards of about ``shard`` elements. An Aho-Corasick
    automaton holds the passages of a shard and scans the forms of all training classes;
-   where the passages found are as many as a match of these lengths must hold, the pair is a
-   candidate.
+   where the passages found are as many as a match of these lengths must hold, and the forms
+   share as many elements, the pair is a candidate.
 4. Candidates are compared word by word. Matched intervals (two elements or more that follow
    each other in both forms), merged, give the coverage of the evaluation record.
 
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stage import Stage
-from .near_duplicates import Classes, Values, digest_of, element_bands, usable
+from .near_duplicates import Classes, Values, usable, word_bands
 
 PASSAGE = 2
 
@@ -60,10 +60,9 @@ def _forms(min_words: int, bands: dict[int, int]):
             words = [t.split() for t in b.column(1).to_pylist()]
             enough = pa.array([len(w) >= min_words for w in words], pa.bool_())
             words = [w for w in words if len(w) >= min_words]
-            sizes = np.cumsum([0, *(len(w) for w in words)], dtype=np.int32)
-            flat = np.fromiter((v for w in words for v in sorted(values.of(w))), np.int64, int(sizes[-1]))
-            form = pa.ListArray.from_arrays(pa.array(sizes), pa.array((flat ^ flat >> 32).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array([digest_of(w) for w in words], pa.binary()), b.column(0).filter(enough), form], names=["digest", "id", "form"])
+            ends, flat = values.of(words)
+            form = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((flat ^ flat >> 32).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(map(values.digest, words), pa.binary()), b.column(0).filter(enough), form], names=["digest", "id", "form"])
 
     return run
 
@@ -93,7 +92,7 @@ def _scan(top: int, bottom: int):
                 owners.append(np.array(who))
             held.clear()
             automaton.make_automaton()
-            size = np.array([len(f) for f in forms])
+            size, sets = np.array([len(f) for f in forms]), [frozenset(f) for f in forms]
             ids, others = shard.column("cid").to_numpy(), split.column("cid").to_numpy()
             must: dict[int, np.ndarray] = {}
             for j, form in enumerate(_sequences(split)):
@@ -104,7 +103,8 @@ def _scan(top: int, bottom: int):
                 hits = [owners[k] for _, k in automaton.iter(form)]
                 if hits:
                     found = np.flatnonzero(np.bincount(np.concatenate(hits), minlength=len(size)) >= must[n])
-                    if len(found):
+                    found = [i for i in found.tolist() if (len(sets[i].intersection(form)) + len(forms[i]) - len(sets[i])) * bottom >= top * max(len(forms[i]), n)]
+                    if found:
                         a.append(ids[found])
                         b.append(np.full(len(found), others[j]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -124,8 +124,8 @@ def _covered(top: int, bottom: int, bands: dict[int, int]):
                 ok = (Counter(mine) & Counter(theirs)).total() * bottom >= top * max(len(mine), len(theirs))
                 keep.append(ok)
                 if ok:
-                    form = sorted(values.of(mine))
-                    place = {v: i for i, v in enumerate(sorted(values.of(theirs)))}
+                    form = values.of([mine])[1].tolist()
+                    place = {v: i for i, v in enumerate(values.of([theirs])[1].tolist())}
                     at = [place.get(v, -2 * len(place)) for v in form]
                     coverage.append(merged_length([(i, i + 2) for i, (s, t) in enumerate(zip(at, at[1:])) if t == s + 1]) / len(form))
             kept = b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -145,7 +145,7 @@ def overlapping_texts(evaluation: DataFrame, training: DataFrame, *, min_words:
         raise ValueError("passages of two elements need a larger share or more words")
     stage = Stage(evaluation.sparkSession)
     held, corpus = (usable(t).distinct() for t in (evaluation, training))
-    bands = element_bands(held.select("text").unionAll(corpus.select("text")))
+    bands, _ = word_bands(held.select("text").unionAll(corpus.select("text")))
     ev, tr = (Classes(t, stage, _forms(min_words, bands), {"form": "array<int>"}) for t in (held, corpus))
     total = lambda c: c.classes.agg(F.sum(F.size("form"))).first()[0] or 0
     shards, splits = max(1, -(-total(ev) // shard)), max(1, -(-total(tr) // split))

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from kinspark.llm.components import connected_groups
-from kinspark.llm.near_duplicates import LOW, Lists, link_counts, linked_pairs, near_duplicates
+from kinspark.llm.near_duplicates import Lists, link_counts, linked_pairs, near_duplicates
 from kinspark.llm.split_overlap import merged_length, overlapping_texts
 
 
@@ -84,7 +84,7 @@ def test_near_duplicates_match_brute_force(spark):
     found = near_duplicates(df)
     got = {(r.id_a, r.id_b) for r in linked_pairs(found).collect()}
     want = _pairs(texts)
-    assert len(want) > 50 and got == want
+    assert len(want) > 30 and got == want
     degree = Counter(x for p in got for x in p)
     assert {r.id: r.n_links for r in link_counts(found).collect()} == {i: degree[i] for i, t in texts if len(t.split()) >= 20}
 
@@ -124,7 +124,7 @@ def test_lists_across_batches(step):
     r = np.random.default_rng(1)
     n = 400
     key = np.sort(np.r_[np.zeros(200), r.integers(1, 40, 200)]).astype(np.int64)
-    base = r.integers(0, LOW, (20, 3))
+    base = r.integers(0, 1 << 62, (20, 3))
     rows = [key, np.arange(n), r.integers(80, 110, n), r.integers(0, 12, n), r.integers(-1, 2, n), *(base[r.integers(0, 20, n), k] for k in range(3))]
     lists = Lists(4, 5)
     i, j = np.triu_indices(n, 1)
@@ -133,7 +133,7 @@ def test_lists_across_batches(step):
     want = sorted(zip(i[same][ok].tolist(), j[same][ok].tolist()))
     batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + step]) for c in rows], names=list("abcdefgh")) for k in range(0, n, step)]
     got = sorted(p for b in lists(iter(batches)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-    assert len(want) > 50 and got == want
+    assert len(want) > 30 and got == want
 
 
 def test_merged_length():
