@@ -45,36 +45,41 @@ from .cells import spread
 
 WORDS, BITS = 3, 192
 HEAVY = 0.0005
-#: A value is band (7 bits), word (32 bits of its hash) and occurrence (24 bits).
-BAND, WORD = 56, 24
-SHORT, TILE, WIDE = 64, 64, 4096
+BAND = 56  # bits of a value below its band
+SHORT, TILE, WIDE = 64, 32, 4096
 MEMO = 500_000
 
 
-def hash_of(word: str) -> int:
-    return xxhash.xxh3_128_intdigest(word)
-
-
 class _Memo(dict):
     def __init__(self, make):
         super().__init__()
         self.make = make
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word):
         x = self[word] = self.make(word)
         return x
 
 
+def elements_of(words: list[str]) -> list:
+    """The elements of a text: a word where it comes first, (word, i) where it has come i times before."""
+    times = Counter(words)
+    return [*times, *((w, i) for w, n in times.items() if n > 1 for i in range(1, n))]
+
+
+def hash_of(element: str | tuple[str, int]) -> int:
+    """63 bits."""
+    return (xxhash.xxh3_64_intdigest(element) if isinstance(element, str) else xxhash.xxh3_64_intdigest(*element)) >> 1
+
+
 class Values:
     """Values and digests of texts, given as lists of words; remembers the words seen, up to a bound.
 
-    Words that share 32 bits of their hash count as one, which lets pairs through but loses none.
+    Two elements of one text share a value, which might hide a match, in one of 10 ** 13 texts.
     """
 
     def __init__(self, bands: dict[int, int]):
-        low = (1 << 63) - 1
-        self.number = _Memo(hash_of)
-        self.value = _Memo(lambda w: bands.get((h := hash_of(w)) & low, 0) << BAND | h >> 96 << WORD)
+        self.number = _Memo(xxhash.xxh3_128_intdigest)
+        self.value = _Memo(lambda e: bands.get(h := hash_of(e), 0) << BAND | h & (1 << BAND) - 1)
 
     def of(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of the texts, and the values of all their elements, ascending in each text."""
@@ -82,12 +87,8 @@ class Values:
             self.value.clear()
         ends = np.cumsum([0, *map(len, texts)])
         get = self.value.__getitem__
-        flat = np.fromiter(itertools.chain.from_iterable(sorted(map(get, t)) for t in texts), np.int64, int(ends[-1]))
-        fresh = np.ones(len(flat) + 1, bool)
-        fresh[1:-1] = flat[1:] != flat[:-1]
-        fresh[ends] = True
-        at = np.flatnonzero(fresh)
-        return ends, flat + np.arange(len(flat)) - np.repeat(at[:-1], np.diff(at))
+        flat = np.fromiter(itertools.chain.from_iterable(sorted(map(get, elements_of(t))) for t in texts), np.int64, int(ends[-1]))
+        return ends, flat
 
     def digest(self, text: list[str]) -> bytes:
         """128 bits for a multiset of words: the sum of their hashes."""
@@ -100,21 +101,21 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count: Counter = Counter()
 
     def put() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([hash_of(w) & (1 << 63) - 1 for w in count], pa.int64()), pa.array(count.values(), pa.int64())], names=["h", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(map(hash_of, count), pa.int64()), pa.array(count.values(), pa.int64())], names=["h", "n"])
 
     for b in batches:
         for t in b.column(0).to_pylist():
-            count.update(set(t.split()))
+            count.update(elements_of(t.split()))
         if len(count) > MEMO:
             yield put()
             count.clear()
     yield put()
 
 
-def word_bands(texts: DataFrame, rare: int = 0) -> tuple[dict[int, int], int]:
-    """The bands of the words that stand in a share of at least ``HEAVY`` of ``texts`` (text): hash -> 1 to 127; the band from which on words stand in ``rare`` texts or more.
+def element_bands(texts: DataFrame, rare: int = 0) -> tuple[dict[int, int], int]:
+    """The bands of the elements that stand in a share of at least ``HEAVY`` of ``texts`` (text): hash -> 1 to 127; the band from which on they stand in ``rare`` texts or more.
 
-    At most (mean length / HEAVY) words, whatever the number of texts; all others have band 0.
+    At most (mean length / HEAVY) of them, whatever the number of texts; all others have band 0.
     """
     least = max(2.0, HEAVY * texts.count())
     counts = texts.select("text").mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -196,7 +197,7 @@ def usable(texts: DataFrame) -> DataFrame:
 class Lists:
     """Rows of inverted lists, sorted by key: pairs of positions that may match.
 
-    Columns of ``rows``: key, cid, size, place (of the common value in the sketch), part, parity bits.
+    Columns: key, cid, parity bits, and size, place (of the common value in the sketch) and part in one number.
     """
 
     def __init__(self, top: int, bottom: int):
@@ -242,16 +243,18 @@ class Lists:
                 stop = min(start + WIDE, last)
                 shape, cells = (end - i, stop - start), (end - i) * (stop - start)
                 mixed, count, differ = (x[:cells].reshape(shape) for x in self.spare)
-                for k, b in enumerate(bits):
+                for k, b in enumerate(bits[:2]):
                     np.bitwise_xor(b[i:end, None], b[None, start:stop], out=mixed)
                     np.bitwise_count(mixed, out=count if k else differ)
                     if k:
                         np.add(differ, count, out=differ)
-                at = np.flatnonzero(differ <= np.clip(spare[start:stop] + largest, 0, 255).astype(np.uint8))
-                if len(at):
+                most = np.clip(spare[start:stop] + largest, 0, 255).astype(np.uint8)
+                at = np.flatnonzero(differ <= most)
+                if len(at):  # a hundredth, with the bits that are left
                     x, y = np.divmod(at, stop - start)
-                    x, y = x + i, y + start
-                    x, y = x[x < y], y[x < y]
+                    left = differ.ravel()[at] + sum(np.bitwise_count(b[i + x] ^ b[start + y]) for b in bits[2:])
+                    ok = (left <= most[y]) & (i + x < start + y)
+                    x, y = i + x[ok], start + y[ok]
                     ok = self.fit(rows, x, y)
                     yield x[ok], y[ok]
 
@@ -279,7 +282,8 @@ class Lists:
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = [b.column(k).to_numpy().astype(np.int64, copy=False) for k in range(b.num_columns)]
+            key, cid, *bits, packed = (c.to_numpy() for c in b.columns)
+            rows = [key, cid, packed >> 32, packed >> 2 & (1 << 30) - 1, (packed & 3) - 1, *bits]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows)]
             cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last list may go on in the next batch
@@ -320,17 +324,19 @@ class NearDuplicates:
         self.members, self.links = members, links
 
 
-def near_duplicates(texts: DataFrame, *, min_words: int = 20, share: tuple[int, int] = (4, 5), most: int = 8192) -> NearDuplicates:
+def near_duplicates(texts: DataFrame, *, min_words: int = 20, share: tuple[int, int] = (4, 5), most: int = 20_000) -> NearDuplicates:
     """Classes and links of ``texts`` (id, text); ids need not be unique, rows may repeat.
 
     ``share`` is a fraction of integers, so that the boundary is exact. No link is missed.
     Lists of more than ``most`` classes are split.
     """
     stage, rows = Stage(texts.sparkSession), usable(texts)
-    bands, common = word_bands(rows, most)
+    bands, common = element_bands(rows, most)
     of = Classes(rows, stage, _sketch(min_words, *share, bands), {"size": "int", "sketch": "array<bigint>"} | dict.fromkeys(PARITY, "bigint"))
     lists = of.classes.select("cid", "size", *PARITY, F.posexplode("sketch").alias("place", "key"))
-    lists = spread(lists, "key", "cid", most, F.col("key") >= common << BAND).select("key", "cid", "size", "place", "part", *PARITY)
+    lists = spread(lists, "key", "cid", most, F.col("key") >= common << BAND)
+    packed = F.shiftleft(F.col("size").cast("bigint"), 32) + F.col("place") * 4 + F.col("part") + 1
+    lists = lists.select("key", "cid", *PARITY, packed.alias("packed"))
     met = lists.repartition("key").sortWithinPartitions("key").mapInArrow(Lists(*share), "a long, b long").distinct()
     met = stage.put(met, "met")
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stage import Stage
-from .near_duplicates import Classes, Values, usable, word_bands
+from .near_duplicates import Classes, Values, usable, element_bands
 
 PASSAGE = 2
 
@@ -134,7 +134,7 @@ def _covered(top: int, bottom: int, bands: dict[int, int]):
     return run
 
 
-def overlapping_texts(evaluation: DataFrame, training: DataFrame, *, min_words: int = 20, share: tuple[int, int] = (4, 5), shard: int = 600_000, split: int = 2_500_000) -> tuple[DataFrame, DataFrame]:
+def overlapping_texts(evaluation: DataFrame, training: DataFrame, *, min_words: int = 20, share: tuple[int, int] = (4, 5), shard: int = 600_000, split: int = 1_250_000) -> tuple[DataFrame, DataFrame]:
     """(members, found): cid, id of each evaluation text; eval_cid, train_cid, coverage of each pair of classes.
 
     Both inputs have id and text; ids need not be unique. A ``share`` or ``min_words`` for
@@ -145,7 +145,7 @@ def overlapping_texts(evaluation: DataFrame, training: DataFrame, *, min_words:
         raise ValueError("passages of two elements need a larger share or more words")
     stage = Stage(evaluation.sparkSession)
     held, corpus = (usable(t).distinct() for t in (evaluation, training))
-    bands, _ = word_bands(held.select("text").unionAll(corpus.select("text")))
+    bands, _ = element_bands(held.select("text").unionAll(corpus.select("text")))
     ev, tr = (Classes(t, stage, _forms(min_words, bands), {"form": "array<int>"}) for t in (held, corpus))
     total = lambda c: c.classes.agg(F.sum(F.size("form"))).first()[0] or 0
     shards, splits = max(1, -(-total(ev) // shard)), max(1, -(-total(tr) // split))

@@ -131,7 +131,8 @@ def test_lists_across_batches(step):
     same = key[i] == key[j]
     ok = lists.fit(rows, i[same], j[same])
     want = sorted(zip(i[same][ok].tolist(), j[same][ok].tolist()))
-    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + step]) for c in rows], names=list("abcdefgh")) for k in range(0, n, step)]
+    columns = [key, rows[1], *rows[5:], rows[2] * (1 << 32) + rows[3] * 4 + rows[4] + 1]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + step]) for c in columns], names=list("abcdef")) for k in range(0, n, step)]
     got = sorted(p for b in lists(iter(batches)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
     assert len(want) > 30 and got == want
 
