@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kinspark.llm.leakage import leaked, winnow, words
-from kinspark.llm.line_labels import page_shares, share_of_lists
+from kinspark.llm.line_labels import Tokens, page_shares, shares, train
 from kinspark.llm.packing import best_two_fit, pack, token_counts
 
 CAPACITIES = "container_id long, capacity_tokens int"
@@ -81,10 +81,29 @@ WORDS = "; ".join(["cheap", "parts", "dealer", "typex", "for sale", "near me"] *
 MENU = "\n".join(f"Type{i} Used\nBuy Cheap" for i in range(20))
 
 
-@pytest.mark.parametrize("text, flagged", [(PROSE * 3, False), (LINKS, True), (TAGS, True), (WORDS, True), (MENU, True), (PROSE * 6 + "\n#oil #car", False), (PROSE + "\n" + LINKS * 3, True), (PROSE * 5 + "\nEquipment:\n- tow package\n- navigation", False), ("", False), (None, False), ("---", False), ("\n \n", False), ((PROSE + " ") * 2000, False)])
-def test_pages(text, flagged):
-    n, listed = share_of_lists(text)
-    assert (2 * listed > n) == flagged
+FRENCH = "Nous avons pris la route vers la côte au petit matin et la voiture roulait sans bruit. Le moteur tourne bien, les freins sont neufs et l'huile a été changée en mai. "
+PORTUGUESE = "Fomos de carro até à costa e a viagem correu muito bem. Os travões estão bons e o óleo foi mudado em maio. O meu irmão ainda procura um lugar para o estacionar. "
+CHINESE = "我们开车去海边，路上很安静。\n刹车很好，机油五月换过。\n我弟弟还在找停车位。\n"
+CODE = "function add(a, b) {\n  var total = a + b;\n  if (total > 10) { return total; }\n  return 0;\n}\nconsole.log(add(3, 4));\n"
+STUFFED = "car rental from rome car rental to milan the best car rental of italy " * 6
+PAGES = [(PROSE * 3, False), (LINKS, True), (TAGS, True), (WORDS, True), (MENU, True), (PROSE * 6 + "\n#oil #car", False), (PROSE + "\n" + LINKS * 3, True), (PROSE * 5 + "\nEquipment:\n- tow package\n- navigation", False), ("", False), (None, False), ("---", False), ("\n \n", False), ((PROSE + " ") * 2000, False), (FRENCH * 3, False), (PORTUGUESE * 3, False), (CHINESE * 4, False), (CODE * 3, False), (STUFFED, True)]
+
+
+@pytest.fixture(scope="module", params=["guess", "trained"])
+def model(request):
+    return train([] if request.param == "guess" else [PROSE * 3, LINKS, TAGS, WORDS, MENU, PROSE, "hotel deals in paris hotel deals in london cheap hotel deals for the summer " * 6] * 20)
+
+
+@pytest.mark.parametrize("text, flagged", PAGES)
+def test_pages(model, text, flagged):
+    n, listed = shares([text], model, Tokens())
+    assert (2 * listed[0] > n[0]) == flagged
+
+
+def test_pages_are_judged_alone(model):
+    together = shares([t for t, _ in PAGES], model, Tokens())
+    alone = [shares([t], model, Tokens()) for t, _ in PAGES]
+    assert together[0].tolist() == [int(n[0]) for n, _ in alone] and together[1].tolist() == [int(m[0]) for _, m in alone]
 
 
 def test_page_shares(spark, rows):
