@@ -4,18 +4,19 @@ A text is the multiset of its blank-separated words; element (word, i) is the i-
 occurrence of a word, so multisets are sets of elements. Two texts match when both have at
 least ``min_words`` words and share at least ``share`` of the longer one's.
 
-1. One hash function gives every element a value; elements that many texts hold get values
-   in higher bands, the more the higher. Any order does for the result; this one keeps the
+1. One hash function gives every element a value; elements whose word is common get values
+   in higher bands, the commoner the higher. Any order does for the result; this one keeps the
    lists of step 2 short. Texts with equal multisets (128 bits of a digest) are one class;
    all later steps work on one text per class, so copies cost nothing however many.
 2. The sketch of a class with n elements holds its k smallest values, where k is one more
    than the number of elements that a match may lack. Of two texts that match, the smallest
    common value is in both sketches: inverted lists of the retained values miss no pair,
    whatever the words, the size of the corpus or of a family of texts.
-3. Lists of more than ``most`` classes are dealt to cells (``cells.spread``). In a list,
-   pairs of fitting lengths are compared by ``BITS`` parity bits of the same hash values:
-   two texts that differ in d elements differ in at most d of them. The places of the common
-   value in both sketches bound the difference likewise.
+3. Lists of more than ``most`` classes are dealt to cells (``cells.spread``). In the list of
+   the smallest common value, all values before it are differences; for those behind it each
+   row has ``BITS`` parity bits of the same hash: two texts that differ in d elements differ
+   in at most d of them. Pairs of fitting lengths for which both together exceed what a match
+   may have are dropped.
 4. Union sketch: below the smaller of their largest retained values the union of two
    sketches holds all elements of both texts. The elements it shows in only one of them are
    differences; a pair that has more than a match may have is dropped.
@@ -36,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +47,9 @@ from .cells import spread
 
 WORDS, BITS = 3, 192
 HEAVY = 0.0005
-BAND = 56  # bits of a value below its band
-SHORT, TILE, WIDE = 64, 32, 4096
+#: A value is the band of its word (7 bits), the word (32 bits of its hash) and the occurrence (24 bits).
+BAND, WORD = 56, 24
+SHORT, TILE, WIDE = 64, 64, 4096
 MEMO = 500_000
 
 
@@ -60,26 +63,20 @@ class _Memo(dict):
         return x
 
 
-def elements_of(words: list[str]) -> list:
-    """The elements of a text: a word where it comes first, (word, i) where it has come i times before."""
-    times = Counter(words)
-    return [*times, *((w, i) for w, n in times.items() if n > 1 for i in range(1, n))]
-
-
-def hash_of(element: str | tuple[str, int]) -> int:
+def hash_of(word: str) -> int:
     """63 bits."""
-    return (xxhash.xxh3_64_intdigest(element) if isinstance(element, str) else xxhash.xxh3_64_intdigest(*element)) >> 1
+    return xxhash.xxh3_64_intdigest(word) >> 1
 
 
 class Values:
     """Values and digests of texts, given as lists of words; remembers the words seen, up to a bound.
 
-    Two elements of one text share a value, which might hide a match, in one of 10 ** 13 texts.
+    Words that share 32 bits of their hash count as one, which lets pairs through but loses none.
     """
 
     def __init__(self, bands: dict[int, int]):
         self.number = _Memo(xxhash.xxh3_128_intdigest)
-        self.value = _Memo(lambda e: bands.get(h := hash_of(e), 0) << BAND | h & (1 << BAND) - 1)
+        self.value = _Memo(lambda w: bands.get(h := hash_of(w), 0) << BAND | h >> 31 << WORD)
 
     def of(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of the texts, and the values of all their elements, ascending in each text."""
@@ -87,8 +84,12 @@ class Values:
             self.value.clear()
         ends = np.cumsum([0, *map(len, texts)])
         get = self.value.__getitem__
-        flat = np.fromiter(itertools.chain.from_iterable(sorted(map(get, elements_of(t))) for t in texts), np.int64, int(ends[-1]))
-        return ends, flat
+        flat = np.fromiter(itertools.chain.from_iterable(sorted(map(get, t)) for t in texts), np.int64, int(ends[-1]))
+        fresh = np.ones(len(flat) + 1, bool)
+        fresh[1:-1] = flat[1:] != flat[:-1]
+        fresh[ends] = True
+        at = np.flatnonzero(fresh)
+        return ends, flat + np.arange(len(flat)) - np.repeat(at[:-1], np.diff(at))
 
     def digest(self, text: list[str]) -> bytes:
         """128 bits for a multiset of words: the sum of their hashes."""
@@ -104,18 +105,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(map(hash_of, count), pa.int64()), pa.array(count.values(), pa.int64())], names=["h", "n"])
 
     for b in batches:
-        for t in b.column(0).to_pylist():
-            count.update(elements_of(t.split()))
+        words = pc.utf8_split_whitespace(b.column(0).cast(pa.large_string())).flatten().value_counts()
+        count.update(dict(zip(words.field(0).to_pylist(), words.field(1).to_pylist())))
         if len(count) > MEMO:
             yield put()
             count.clear()
     yield put()
 
 
-def element_bands(texts: DataFrame, rare: int = 0) -> tuple[dict[int, int], int]:
-    """The bands of the elements that stand in a share of at least ``HEAVY`` of ``texts`` (text): hash -> 1 to 127; the band from which on they stand in ``rare`` texts or more.
+def word_bands(texts: DataFrame, rare: int = 0) -> tuple[dict[int, int], int]:
+    """The bands of the words that come at least ``HEAVY`` times as often as there are ``texts`` (text): hash -> 1 to 127; the band of those that come ``rare`` times.
 
-    At most (mean length / HEAVY) of them, whatever the number of texts; all others have band 0.
+    At most (mean length / HEAVY) words, whatever the number of texts; all others have band 0.
     """
     least = max(2.0, HEAVY * texts.count())
     counts = texts.select("text").mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -124,13 +125,34 @@ def element_bands(texts: DataFrame, rare: int = 0) -> tuple[dict[int, int], int]
     return {r["h"]: band(r["n"]) for r in counts.where(F.col("n") >= least).collect()}, band(rare) if rare >= least else 0
 
 
+def _bits(flat: np.ndarray) -> np.ndarray:
+    """The parity bit of each value, 0 to BITS - 1."""
+    return (((flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(BITS)).astype(np.int64)
+
+
 def parity(ends: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """``WORDS`` columns of parity bits, one row for each text: each value flips one bit."""
     n = len(ends) - 1
-    row = np.repeat(np.arange(n), np.diff(ends))
-    bit = ((flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(BITS)
-    odd = np.bincount(row * BITS + bit.astype(np.int64), minlength=n * BITS) & 1
-    return np.packbits(odd.reshape(n, BITS).astype(np.uint8), axis=1).view(np.int64)
+    odd = np.bincount(np.repeat(np.arange(n), np.diff(ends)) * BITS + _bits(flat), minlength=n * BITS) & 1
+    return np.packbits(odd.reshape(n, BITS).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, size, sketch, parity bits) to a row for each retained value: key, cid, size, place, and the parity bits of the elements behind it."""
+    for b in batches:
+        sketch = b.column(2)
+        ends, flat = sketch.offsets.to_numpy().astype(np.int64), sketch.values.to_numpy()
+        flat, ends = flat[ends[0] : ends[-1]], ends - ends[0]
+        n = np.diff(ends)
+        bit, at = _bits(flat), np.repeat(np.arange(len(n)), n)
+        columns = []
+        for k in range(WORDS):
+            own = np.where(bit >> 6 == k, np.uint64(1) << (bit & 63).astype(np.uint64), np.uint64(0))
+            so_far = np.bitwise_xor.accumulate(np.r_[np.uint64(0), own])
+            before = so_far[1:] ^ so_far[ends[:-1]][at]  # of the text's values up to this one
+            columns.append(pa.array((b.column(3 + k).to_numpy().view(np.uint64)[at] ^ before).view(np.int64)))
+        place = np.arange(len(flat)) - np.repeat(ends[:-1], n)
+        yield pa.RecordBatch.from_arrays([pa.array(flat), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(place.astype(np.int32)), *columns], names=["key", "cid", "size", "place", *PARITY])
 
 
 def _sketch(min_words: int, top: int, bottom: int, bands: dict[int, int]):
@@ -204,9 +226,9 @@ class Lists:
         self.top, self.bottom = top, bottom
 
     @functools.cached_property
-    def spare(self) -> tuple[np.ndarray, ...]:
+    def room(self) -> tuple[np.ndarray, ...]:
         """Room for the numbers of a tile, used again for each."""
-        return tuple(np.empty(TILE * WIDE, t) for t in (np.uint64, np.uint8, np.uint8))
+        return tuple(np.empty(TILE * WIDE, t) for t in (np.uint64, np.uint8, np.uint8, np.bool_))
 
     def fit(self, rows: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Which of the pairs (i, j) may match, by lengths, places, parts and parity bits."""
@@ -214,7 +236,7 @@ class Lists:
         need = -(-np.maximum(size[i], size[j]) * self.top // self.bottom)
         most = size[i] + size[j] - 2 * need
         differ = sum(np.bitwise_count((b[i] ^ b[j]).view(np.uint64)).astype(np.int64) for b in rows[5:])
-        return (np.minimum(size[i], size[j]) >= need) & (differ <= most) & (place[i] + place[j] <= most) & ((part[i] == 0) | (part[i] != part[j])) & (cid[i] != cid[j])
+        return (np.minimum(size[i], size[j]) >= need) & (differ + place[i] + place[j] <= most) & ((part[i] == 0) | (part[i] != part[j])) & (cid[i] != cid[j])
 
     def short(self, rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All lists at once, by the distance of two rows in their list."""
@@ -232,9 +254,10 @@ class Lists:
 
     def long(self, rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """One list, in order of length: tiles of rows against the rows of fitting length behind."""
-        size, bits = rows[2], [b.view(np.uint64) for b in rows[5:]]  # bits of signed numbers would be counted without their sign
+        size, place, bits = rows[2], rows[3], [b.view(np.uint64) for b in rows[5:]]  # bits of signed numbers would be counted without their sign
         n = len(size)
-        spare = size - 2 * -(-size * self.top // self.bottom)  # plus the shorter length: elements in which a match may differ
+        spare = size - 2 * -(-size * self.top // self.bottom) - place  # plus the shorter length, less its place: elements behind in which a match may differ
+        ahead = np.minimum(place, 255 - 128).astype(np.uint8)[:, None]
         for i in range(0, n, TILE):
             end = min(i + TILE, n)
             largest = int(size[end - 1])
@@ -242,19 +265,17 @@ class Lists:
             for start in range(i, last, WIDE):
                 stop = min(start + WIDE, last)
                 shape, cells = (end - i, stop - start), (end - i) * (stop - start)
-                mixed, count, differ = (x[:cells].reshape(shape) for x in self.spare)
-                for k, b in enumerate(bits[:2]):
-                    np.bitwise_xor(b[i:end, None], b[None, start:stop], out=mixed)
-                    np.bitwise_count(mixed, out=count if k else differ)
-                    if k:
-                        np.add(differ, count, out=differ)
-                most = np.clip(spare[start:stop] + largest, 0, 255).astype(np.uint8)
-                at = np.flatnonzero(differ <= most)
-                if len(at):  # a hundredth, with the bits that are left
+                mixed, count, differ, near = (x[:cells].reshape(shape) for x in self.room)
+                np.bitwise_xor(bits[0][i:end, None], bits[0][None, start:stop], out=mixed)
+                np.add(np.bitwise_count(mixed, out=count), ahead[i:end], out=differ)
+                np.bitwise_xor(bits[1][i:end, None], bits[1][None, start:stop], out=mixed)
+                np.add(differ, np.bitwise_count(mixed, out=count), out=differ)
+                np.less_equal(differ, np.clip(spare[start:stop] + largest, 0, 255).astype(np.uint8), out=near)
+                at = np.flatnonzero(near)
+                if len(at):
                     x, y = np.divmod(at, stop - start)
-                    left = differ.ravel()[at] + sum(np.bitwise_count(b[i + x] ^ b[start + y]) for b in bits[2:])
-                    ok = (left <= most[y]) & (i + x < start + y)
-                    x, y = i + x[ok], start + y[ok]
+                    x, y = x + i, y + start
+                    x, y = x[x < y], y[x < y]
                     ok = self.fit(rows, x, y)
                     yield x[ok], y[ok]
 
@@ -307,11 +328,16 @@ def _verify(top: int, bottom: int):
     """Keeps the pairs (a, b, x, y) that match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, m, v = None, 0, Counter()
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                u, v = x.split(), y.split()
-                keep.append((Counter(u) & Counter(v)).total() * bottom >= top * max(len(u), len(v)))
+                if y != last:  # rows come in the order of their second text
+                    words = y.split()
+                    last, m, v = y, len(words), Counter(words)
+                words = x.split()
+                common = sum(min(n, v[w]) for w, n in Counter(words).items() if w in v)
+                keep.append(common * bottom >= top * max(len(words), m))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -331,10 +357,12 @@ def near_duplicates(texts: DataFrame, *, min_words: int = 20, share: tuple[int,
     Lists of more than ``most`` classes are split.
     """
     stage, rows = Stage(texts.sparkSession), usable(texts)
-    bands, common = element_bands(rows, most)
+    bands, common = word_bands(rows, most)
     of = Classes(rows, stage, _sketch(min_words, *share, bands), {"size": "int", "sketch": "array<bigint>"} | dict.fromkeys(PARITY, "bigint"))
-    lists = of.classes.select("cid", "size", *PARITY, F.posexplode("sketch").alias("place", "key"))
-    lists = spread(lists, "key", "cid", most, F.col("key") >= common << BAND)
+    schema = ", ".join(["key long", "cid long", "size int", "place int", *(f"{p} long" for p in PARITY)])
+    lists = of.classes.select("cid", "size", "sketch", *PARITY).mapInArrow(_listed, schema)
+    common_keys = of.classes.select(F.explode("sketch").alias("key")).where(F.col("key") >= common << BAND)
+    lists = spread(lists, "key", "cid", most, common_keys)
     packed = F.shiftleft(F.col("size").cast("bigint"), 32) + F.col("place") * 4 + F.col("part") + 1
     lists = lists.select("key", "cid", *PARITY, packed.alias("packed"))
     met = lists.repartition("key").sortWithinPartitions("key").mapInArrow(Lists(*share), "a long, b long").distinct()
