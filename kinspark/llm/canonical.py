@@ -3,10 +3,11 @@
 Only the distinct values of each field are examined, after a combined count; the result is
 joined back. A multi-pattern automaton holds the canonical names and aliases of a field,
 each also without blanks, bounded by blanks; the longest mention wins, then those that do
-not overlap it. A value in which no entry is mentioned goes to token-set similarity: every
-word of an entry is compared with the words of the value, single or run together, by an edit
-distance that knows neighbouring keys and swapped letters; numbers must agree exactly; the
-nearest entry within the allowed distance wins. What remains gets reference 0.
+not overlap it. A value in which no entry is mentioned goes to token-set similarity: the
+share of an entry's letters that the value's tokens, in any order, single or run together,
+account for. A token accounts for the letters of a word less its edits from it, if they are
+few enough; edits know neighbouring keys and swapped letters; numbers must agree exactly.
+The entry of the highest similarity wins. What remains gets reference 0.
 
 The reference list is sent to the tasks only up to ``MAX_REFERENCE`` rows; a longer one is
 refused. Null and blank values are no cases; ties take the smaller reference id; repeated
@@ -106,7 +107,7 @@ class Resolver:
         return won
 
     def similar(self, tokens: list[str]) -> int:
-        """The entry whose words are nearest to the tokens, 0 if none is near enough; no entry is left out."""
+        """The entry of the highest token-set similarity, 0 if none has all its words; no entry is left out."""
         forms = set(tokens) | {a + b for a, b in zip(tokens, tokens[1:])} | {a + b + c for a, b, c in zip(tokens, tokens[1:], tokens[2:])}
         near: dict[str, float] = {}
         found = []
@@ -118,10 +119,10 @@ class Resolver:
                     near[w] = distance
             digits = len(f) - len(f.rstrip("0123456789"))
             for n in range(1, digits + 1):
-                found += [(typing_distance(f[:-n], stem, 2.0), ref) for ref, stem in self.by_number.get(f[-n:], ())]
-        found += [(sum(near[w] for w in words), ref) for first in near for ref, words in self.by_word.get(first, ()) if all(w in near for w in words)]
-        score, ref = min(found, default=(float("inf"), 0))
-        return ref if score < float("inf") else 0
+                found += [(typing_distance(f[:-n], stem, 2.0) / (len(stem) + n), ref) for ref, stem in self.by_number.get(f[-n:], ())]
+        found += [(sum(near[w] for w in words) / sum(map(len, words)), ref) for first in near for ref, words in self.by_word.get(first, ()) if all(w in near for w in words)]
+        lacking, ref = min(found, default=(float("inf"), 0))  # similarity is 1 less this share
+        return ref if lacking < float("inf") else 0
 
     def resolve(self, value: str) -> int:
         tokens = re.findall("[a-z0-9]+", value.lower())
@@ -146,7 +147,9 @@ def resolve_values(values: DataFrame, reference: DataFrame) -> DataFrame:
             refs = [resolvers.get(f, none).resolve(v) for f, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(refs, pa.int64())], names=["field_name", "value", "ref_id"])
 
-    return values.select("field_name", "value").mapInArrow(run, "field_name string, value string, ref_id long")
+    # Few bytes but much work: as many tasks as there are cores, which adaptive execution would put into one.
+    spread = values.select("field_name", "value").repartition(3 * values.sparkSession.sparkContext.defaultParallelism, "field_name", "value")
+    return spread.mapInArrow(run, "field_name string, value string, ref_id long")
 
 
 def canonical_entries(records: DataFrame, reference: DataFrame, fields: list[str]) -> DataFrame:

@@ -5,7 +5,8 @@ winnowing keeps the smallest in every window of ``window`` grams (the rightmost
 ones), so that any run of k + window - 1 common words leaves a common fingerprint. Corpus
 and evaluation fingerprints are joined on the hash; each hit is extended word by word to
 both sides, and counts if the run has at least ``k + window - 1`` words. Nothing is missed:
-a common run of that length always has a common fingerprint inside it.
+a common run of that length always has a common fingerprint inside it. All texts of a
+document and of an item count.
 
 Evaluation fingerprints are broadcast only up to ``BROADCAST_ROWS`` of them (their number is
 counted first); beyond that the join is shuffled.
@@ -17,6 +18,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -76,36 +78,46 @@ def _fingerprints(k: int, window: int):
     return run
 
 
-def longest_run(a: list[str], b: list[str], i: int, j: int) -> int:
-    """Length of the run of equal words around a[i] and b[j]; 0 if they differ."""
+def run_around(a: list[str], b: list[str], i: int, j: int) -> tuple[int, int]:
+    """Start and end in ``a`` of the run of equal words around a[i] and b[j]; an empty one if they differ."""
     if a[i] != b[j]:
-        return 0
+        return i, i
     s = 0
     while s < min(i, j) and a[i - s - 1] == b[j - s - 1]:
         s += 1
     e = 1
     while i + e < len(a) and j + e < len(b) and a[i + e] == b[j + e]:
         e += 1
-    return s + e
+    return i - s, i + e
 
 
-def _extend(least: int):
+def _extend(k: int, window: int):
+    """(doc_id, item_id, hits, text, passage) to doc_id, item_id, n_words of the pairs with a run that is long enough."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: dict[int, list[str]] = {}
+        items: dict[str, tuple[list[str], dict[int, list[int]]]] = {}
         for b in batches:
             doc_out, item_out, len_out = [], [], []
             last, ws = None, []
             for doc, item, hits, text, passage in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if doc != last:
-                    last, ws = doc, words(text)
-                if item not in items:
+                if text != last:
+                    last, ws = text, words(text)
+                if passage not in items:
                     if len(items) > 10_000:
                         items.clear()
-                    items[item] = words(passage)
-                best = 0
-                for h in hits:
-                    best = max(best, longest_run(ws, items[item], h["p"], h["q"]))
-                if best >= least:
+                    mine, places = words(passage), defaultdict(list)
+                    for q, h in winnow(mine, k, window).items():
+                        places[h].append(q)
+                    items[passage] = mine, places
+                mine, places = items[passage]
+                best, done = 0, {}
+                for h in sorted(hits, key=lambda h: h["p"]):
+                    for q in places.get(h["h"], ()):
+                        if done.get(h["p"] - q, -1) <= h["p"]:  # else inside a run that is known
+                            s, e = run_around(ws, mine, h["p"], q)
+                            done[h["p"] - q] = e
+                            best = max(best, e - s)
+                if best >= k + window - 1:
                     doc_out.append(doc)
                     item_out.append(item)
                     len_out.append(best)
@@ -117,17 +129,17 @@ def _extend(least: int):
 def leaked(documents: DataFrame, items: DataFrame, *, k: int = 8, window: int = 6) -> DataFrame:
     """doc_id, item_id, n_words: the longest run (of 13 words or more by default) found around a common fingerprint.
 
-    ``documents`` (doc_id, text) and ``items`` (item_id, text); an id has one text (of several the smallest counts).
+    ``documents`` (doc_id, text) and ``items`` (item_id, text); an id may have several texts, all of them are searched.
     """
     stage = Stage(documents.sparkSession)
     schema = "id long, h long, at int"
-    docs = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
-    its = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min("text").alias("passage"))
-    of_items = stage.put(its.mapInArrow(_fingerprints(k, window), schema).select(F.col("id").alias("item_id"), "h", F.col("at").alias("q")), "items")
+    docs = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text").withColumn("doc", F.xxhash64("doc_id", "text"))
+    its = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", F.col("text").alias("passage")).distinct().withColumn("item", F.xxhash64("item_id", "passage"))
+    of_items = stage.put(its.select("item", "passage").mapInArrow(_fingerprints(k, window), schema).select(F.col("id").alias("item"), "h").distinct(), "items")
     if of_items.count() <= BROADCAST_ROWS:
         of_items = F.broadcast(of_items)
-    of_docs = docs.mapInArrow(_fingerprints(k, window), schema).select(F.col("id").alias("doc_id"), "h", F.col("at").alias("p"))
-    hits = of_docs.join(of_items, "h").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("p", "q")).alias("hits"))
+    of_docs = docs.select("doc", "text").mapInArrow(_fingerprints(k, window), schema).select(F.col("id").alias("doc"), "h", F.col("at").alias("p"))
+    hits = of_docs.join(of_items, "h").groupBy("doc", "item").agg(F.collect_set(F.struct("p", "h")).alias("hits"))  # no more than the text has words
     hits = stage.put(hits, "hits")
-    full = hits.join(docs, "doc_id").join(its, "item_id").select("doc_id", "item_id", "hits", "text", "passage")
-    return full.mapInArrow(_extend(k + window - 1), "doc_id long, item_id long, n_words int").groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
+    full = hits.join(docs, "doc").join(its, "item").select("doc_id", "item_id", "hits", "text", "passage")
+    return full.mapInArrow(_extend(k, window), "doc_id long, item_id long, n_words int").groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))

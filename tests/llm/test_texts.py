@@ -64,9 +64,9 @@ def test_leaks(spark, rows):
         (1, "Start. " + ", ".join(passage[5:18]).upper() + " end"), (2, " ".join(passage[5:17])), (3, " ".join(passage * 3)), (4, None), (5, ""), (6, "a " * 20000), (3, " ".join(passage * 3)),
         (7, " ".join(passage[:8] + ["no"] + passage[8:16] + ["no"] + passage[16:24])), (None, " ".join(passage)),
     ]
-    items = spark.createDataFrame([(10, " ".join(passage), "s"), (11, " ".join(["q", *passage[:14]]), "s"), (12, None, "s"), (13, "short", "s"), (10, " ".join(passage), "t")], "item_id long, text string, doc_id string")
+    items = spark.createDataFrame([(10, " ".join(passage), "s"), (11, " ".join(["q", *passage[:14]]), "s"), (12, None, "s"), (13, "short", "s"), (10, " ".join(passage), "t"), (11, "another " + " ".join(passage[8:25]), "t"), (14, "a " * 60, "t")], "item_id long, text string, doc_id string")
     df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, item_id int")
-    assert rows(leaked(df, items)) == [(1, 10, 13), (3, 10, 30), (3, 11, 14)]
+    assert rows(leaked(df, items)) == [(1, 10, 13), (3, 10, 30), (3, 11, 17), (6, 14, 60)]
     assert leaked(df.limit(0), items).count() == leaked(df, items.limit(0)).count() == 0
 
 
