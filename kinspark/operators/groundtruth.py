@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from ..functions import vin as V
 from ..functions.text import strip
 from ..functions.timestamps import with_utc_second
 from ..sources.tables import MEDIATED, PAIR_ATTRIBUTES, rec_id
-from .hash_order import hash_key, stratified_split, take
+from .hash_order import stratified_split, take, with_rank
+from .stage import Stage
 
 #: Attributes that leaders are compared by.
 COMPARED = [c for c in MEDIATED if c not in ("vin", "pubblication_date", "id_source_vehicles", "id_source_used_cars", "description")]
@@ -26,17 +28,21 @@ def legal_vins(df: DataFrame, vin: str = "vin") -> DataFrame:
 
 def _leaders(key: int, compared: list[int], most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, leaders = None, []
+        now, leaders, codes = None, np.empty((0, len(compared)), np.int64), {}
+        count = 0
         for b in batches:
             keep = []
             columns = [b.column(i).to_pylist() for i in compared]
-            for i, k in enumerate(b.column(key).to_pylist()):
+            for k, *values in zip(b.column(key).to_pylist(), *columns):
                 if k != now:
-                    now, leaders = k, []
-                row = [c[i] for c in columns]
-                lead = all(sum(x != y for x, y in zip(row, other)) > most for other in leaders)
+                    now, count, codes = k, 0, {}
+                row = np.fromiter((codes.setdefault(v, len(codes)) for v in enumerate(values)), np.int64, len(values))
+                lead = not count or int((leaders[:count] != row).sum(axis=1).min()) > most
                 if lead:
-                    leaders.append(row)
+                    if count == len(leaders):
+                        leaders = np.concatenate([leaders, np.empty((max(16, count), len(compared)), np.int64)])
+                    leaders[count] = row
+                    count += 1
                 keep.append(lead)
             yield b.filter(pa.array(keep, pa.bool_()))
 
@@ -47,12 +53,17 @@ def leaders(df: DataFrame, key: str = "vin", moment: str = "utc_second", tie: st
     """Of each key the leaders, latest first (unknown moments last, ties by ``tie``).
 
     A row is a leader unless an earlier one differs from it in at most ``most`` of the
-    compared attributes; null equals null only. Rows stream through in order and only the
-    leaders of the current key are held, so a large group needs no more memory than its
-    leaders.
+    compared attributes; null equals null only. Of rows that are equal in all of them only
+    the first can be a leader, so the others go before the shuffle, in partial aggregates: a
+    key with a third of all rows sends its different rows only. These stream through in
+    order, and only the leaders of the current key are held.
     """
     names = compared or [c for c in COMPARED if c in df.columns]
-    order = df.repartition(key).sortWithinPartitions(key, F.col(moment).desc_nulls_last(), tie)
+    rest = [c for c in df.columns if c not in (key, *names)]
+    first = F.struct(F.col(moment).isNull().alias("_none"), (-F.col(moment)).alias("_late"), F.col(tie).alias("_tie"), *[F.col(c) for c in rest])
+    alike = df.groupBy(key, *names).agg(F.min(first).alias("_first"))
+    different = alike.select(*[F.col(c) if c in (key, *names) else F.col(f"_first.{c}").alias(c) for c in df.columns])
+    order = different.repartition(key).sortWithinPartitions(key, F.col(moment).desc_nulls_last(), tie)
     at = {c: i for i, c in enumerate(df.columns)}
     return order.mapInArrow(_leaders(at[key], [at[c] for c in names], most), df.schema)
 
@@ -81,16 +92,20 @@ def _grouped(records: DataFrame) -> DataFrame:
 def negative_candidates(records: DataFrame, fields: list[str], seed: int = 42, most: int = 50) -> DataFrame:
     """id_A, id_B: pairs with equal ``fields`` and different keys.
 
-    Of a group with more than ``most`` records, the first ``most`` in hash order are used
-    (this is a sampling operator); a group thus gives a bounded number of pairs.
+    Groups of up to ``most`` records give all their pairs. A larger group is sampled: its
+    records stand in a circle in hash order, and each is paired with the ``most / 2`` that
+    follow, so every record of it can be drawn and the pairs grow in proportion to it.
     """
-    place = Window.partitionBy(*fields).orderBy(hash_key(seed, "rec_id"), "rec_id")
-    r = _grouped(records).withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= most)
-    same = [F.col(f"a.{f}") == F.col(f"b.{f}") for f in fields]
-    on = (F.col("a.rec_id") < F.col("b.rec_id")) & (F.col("a.vin") != F.col("b.vin"))
-    for s in same:
-        on = on & s
-    return r.alias("a").join(r.alias("b"), on).select(F.col("a.rec_id").alias("id_A"), F.col("b.rec_id").alias("id_B")).distinct()
+    ranked = with_rank(_grouped(records).select("rec_id", "vin", *fields).distinct(), ["rec_id", "vin"], seed, fields)
+    r = Stage(records.sparkSession).put(ranked.select("rec_id", "vin", *fields, (F.col("_rank") - 1).alias("p"), F.col("_n").alias("n")), "ranked")
+    small, large = r.where(F.col("n") <= most), r.where(F.col("n") > most)
+    other = lambda d: d.select(*fields, F.col("rec_id").alias("rec_2"), F.col("vin").alias("vin_2"), F.col("p").alias("q"))
+    whole = small.join(other(small), fields).where("p < q")
+    steps = F.explode(F.sequence(F.lit(1), F.lit(most // 2))).alias("k")
+    drawn = large.select("rec_id", "vin", *fields, "p", "n", steps).withColumn("q", (F.col("p") + F.col("k")) % F.col("n")).join(other(large), [*fields, "q"])
+    pairs = whole.select("rec_id", "vin", "rec_2", "vin_2").unionByName(drawn.select("rec_id", "vin", "rec_2", "vin_2"))
+    pairs = pairs.where((F.col("vin") != F.col("vin_2")) & (F.col("rec_id") != F.col("rec_2")))
+    return pairs.select(F.least("rec_id", "rec_2").alias("id_A"), F.greatest("rec_id", "rec_2").alias("id_B")).distinct()
 
 
 def negative_pairs(records: DataFrame, positives: DataFrame, target: int, seed: int = 42, most: int = 50) -> DataFrame:
@@ -110,8 +125,9 @@ def stratum_shares(negatives: DataFrame) -> DataFrame:
 
 
 def with_attributes(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """The pairs with the attributes of both ends; a pair whose end is unknown goes."""
-    r = records.dropDuplicates(["rec_id"])
+    """The pairs with the attributes of both ends; a pair whose end is unknown goes. Of several rows of a record the smallest, field by field from the left, counts."""
+    one = F.min(F.struct(*PAIR_ATTRIBUTES)).alias("_r")
+    r = records.groupBy("rec_id").agg(one).select("rec_id", "_r.*")
     side = lambda s: r.select(F.col("rec_id").alias(f"id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in PAIR_ATTRIBUTES])
     out = pairs.join(side("A"), "id_A").join(side("B"), "id_B")
     return out.select("id_A", *[f"{c}_A" for c in PAIR_ATTRIBUTES], "id_B", *[f"{c}_B" for c in PAIR_ATTRIBUTES], "label")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from ..functions.vin import LETTERS, NUMBERS, WEIGHTS
 from ..matching.features import EXACT, GAUSS, RATIOS, SIMILAR, STRINGS, VOCABULARIES
+from ..operators import mediate
+from ..operators.groundtruth import COMPARED
 from ..operators.serialize import FIELDS
 from ..sources.tables import MEDIATED
 
@@ -83,8 +85,10 @@ GROUPED = f"""(SELECT DISTINCT rec_id, vin, lower({trim("coalesce(manufacturer,
 
 def neg(fields: list[str]) -> str:
     by = ", ".join(fields)
-    g = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY md5('42|' || rec_id), rec_id) AS n FROM {GROUPED}) WHERE n <= 50)"
-    return f"SELECT DISTINCT a.rec_id AS id_A, b.rec_id AS id_B FROM {g} a JOIN {g} b ON {' AND '.join(f'a.{f} = b.{f}' for f in fields)} AND a.rec_id < b.rec_id AND a.vin <> b.vin"
+    return f"""SELECT DISTINCT least(a.rec_id, b.rec_id) AS id_A, greatest(a.rec_id, b.rec_id) AS id_B FROM {{0}} a JOIN {{0}} b ON {' AND '.join(f'a.{f} = b.{f}' for f in fields)} AND a.vin <> b.vin AND a.rec_id <> b.rec_id
+      AND ((a.n <= 50 AND a.p < b.p) OR (a.n > 50 AND (b.p - a.p + a.n) % a.n BETWEEN 1 AND 25))""".replace(
+        "{0}", f"(SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY md5(concat_ws('|', '42', rec_id, vin)), rec_id, vin) - 1 AS p, count(*) OVER (PARTITION BY {by}) AS n FROM (SELECT DISTINCT rec_id, vin, {by} FROM {GROUPED}))"
+    )
 
 
 POSITIVE = f"SELECT DISTINCT a.rec_id AS id_A, b.rec_id AS id_B, 1 AS label FROM (SELECT DISTINCT rec_id, vin FROM {CLEANED}) a JOIN (SELECT DISTINCT rec_id, vin FROM {CLEANED}) b ON a.vin = b.vin AND a.rec_id < b.rec_id"
@@ -98,6 +102,9 @@ def quota(hard: str, medium: str) -> str:
       m AS (SELECT id_A, id_B FROM (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS n FROM mc WHERE (id_A, id_B) NOT IN (SELECT (id_A, id_B) FROM p) AND (id_A, id_B) NOT IN (SELECT (id_A, id_B) FROM h)) WHERE n <= {medium})"""
 
 
+TWICE = "(SELECT 2 * count(*) * 70 // 100 FROM p)", "(SELECT 2 * count(*) * 30 // 100 FROM p)"
+
+
 def split_of(inner: str, columns: str) -> str:
     return f"""SELECT {columns}, CASE WHEN r <= n * 7 // 10 THEN 'train' WHEN r <= n * 8 // 10 THEN 'val' ELSE 'test' END AS split
       FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {ORDER}) AS r, count(*) OVER (PARTITION BY label) AS n FROM ({inner}))"""
@@ -153,7 +160,8 @@ def distances() -> str:
     return ", ".join(out)
 
 
-FIRST_CRITICAL = "manufacturer IS NOT NULL AND model IS NOT NULL AND year IS NOT NULL AND mileage IS NOT NULL AND fuel_type IS NOT NULL"
+CRITICAL_COLUMNS = ["manufacturer", "model", "year", "mileage", "fuel_type"]
+CRITICAL = " AND ".join(f"{c} IS NOT NULL" for c in CRITICAL_COLUMNS)
 TEXTS = [c for c in ("location", "manufacturer", "model", "cylinders", "fuel_type", "transmission", "traction", "body_type", "main_color")]
 
 
@@ -177,8 +185,17 @@ ORACLE: dict[str, str] = {
     ),
     "schema_counts": _union(f"SELECT '{c}' AS attribute, count({c}) AS non_null, count(*) AS n_rows FROM {M}" for c in MEDIATED),
     "missing_patterns": f"SELECT {' || '.join(f'({c} IS NULL)::INT::VARCHAR' for c in MEDIATED)} AS pattern, count(*) AS n_rows FROM {M} GROUP BY 1",
-    "drop_high_missing": f"SELECT id_source_vehicles AS rec_id, (SELECT 1 + {' + '.join(f'(count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*) <= 70)::INT' for c in MEDIATED[2:])} FROM (SELECT DISTINCT * FROM {M} WHERE id_source_vehicles IS NOT NULL))::BIGINT AS n_columns FROM (SELECT DISTINCT * FROM {M} WHERE id_source_vehicles IS NOT NULL)",
-    "drop_null_critical": f"SELECT id_source_vehicles AS rec_id FROM (SELECT DISTINCT * FROM {M} WHERE id_source_vehicles IS NOT NULL) WHERE {FIRST_CRITICAL}",
+    "drop_high_missing": _union(
+        f"SELECT {i} AS rec_id, (SELECT 1 + {' + '.join(f'(count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*) <= 70)::INT' for c in MEDIATED[2:])} FROM (SELECT DISTINCT * FROM {M} WHERE {i} IS NOT NULL))::BIGINT AS n_columns FROM (SELECT DISTINCT * FROM {M} WHERE {i} IS NOT NULL)"
+        for i in MEDIATED[:2]
+    ),
+    "drop_null_critical": f"SELECT {REC} AS rec_id FROM (SELECT DISTINCT * FROM {M} WHERE {REC} IS NOT NULL) WHERE {CRITICAL}",
+    "dropped_rows": _union(
+        f"SELECT '{n}' AS source_name, '{a}' AS attribute, count(*) FILTER (WHERE {cond}) AS n_missing FROM (SELECT DISTINCT * FROM {M} WHERE {i} IS NOT NULL)"
+        for n, i, names in (("vehicles", MEDIATED[0], mediate.FIRST_CRITICAL), ("used_cars", MEDIATED[1], mediate.SECOND_CRITICAL))
+        for a, cond in [*zip(names, (f"{c} IS NULL" for c in CRITICAL_COLUMNS)), ("(any)", f"NOT ({CRITICAL})")]
+    ),
+    "second_source_cleaned": f"SELECT listing, id FROM (SELECT *, id_source_used_cars AS listing, 'S2_' || (row_number() OVER (ORDER BY id_source_used_cars) - 1) AS id FROM (SELECT DISTINCT * FROM {M} WHERE id_source_used_cars IS NOT NULL)) WHERE {CRITICAL}",
     "row_id_prefix": "SELECT c_custkey, 'S2_' || (row_number() OVER (ORDER BY c_custkey) - 1) AS id FROM customer",
     "unified_id": f"SELECT {REC} AS rec_id, count(*) AS n_rows FROM {M} GROUP BY 1",
     "whole_number_ids": f"SELECT DISTINCT id_source_vehicles || '.0' AS raw, id_source_vehicles AS id FROM {M} WHERE id_source_vehicles IS NOT NULL",
@@ -198,9 +215,9 @@ ORACLE: dict[str, str] = {
     "extra_ids": f"SELECT rec_id FROM (SELECT rec_id, row_number() OVER (ORDER BY md5('42|' || rec_id), rec_id) AS n FROM (SELECT DISTINCT rec_id FROM {CLEANED}) WHERE rec_id NOT IN ({UNION_IDS})) WHERE n <= 300",
     "match_lists": f"SELECT id_A, id_B, CASE WHEN label = 1 THEN 'match' ELSE 'distinct' END AS kind FROM {ALL} WHERE id_A IN (SELECT rec_id FROM {CLEANED}) AND id_B IN (SELECT rec_id FROM {CLEANED})",
     "default_scores": f"SELECT t.lo, t.hi, coalesce(max(c.prob), 0.0::DOUBLE) AS prob FROM (SELECT DISTINCT least(id_A, id_B) AS lo, greatest(id_A, id_B) AS hi FROM {pairs('test', 'label')}) t LEFT JOIN (SELECT least({trim('id_A')}, {trim('id_B')}) AS lo, greatest({trim('id_A')}, {trim('id_B')}) AS hi, prob FROM test_candidates WHERE id_A IS NOT NULL AND id_B IS NOT NULL) c ON t.lo = c.lo AND t.hi = c.hi GROUP BY 1, 2",
-    "negatives_quota": f"{quota('700', '300')} SELECT id_A, id_B, 'hard' AS stratum, 0 AS label FROM h UNION ALL SELECT id_A, id_B, 'medium', 0 FROM m",
-    "negatives_shares": f"{quota('700', '300')} SELECT stratum, count(*) AS n_pairs, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS pct FROM (SELECT 'hard' AS stratum FROM h UNION ALL SELECT 'medium' FROM m) GROUP BY 1",
-    "ground_truth": f"""{quota('(SELECT 2 * count(*) * 70 // 100 FROM p)', '(SELECT 2 * count(*) * 30 // 100 FROM p)')} {split_of(
+    "negatives_quota": f"{quota(*TWICE)} SELECT id_A, id_B, 'hard' AS stratum, 0 AS label FROM h UNION ALL SELECT id_A, id_B, 'medium', 0 FROM m",
+    "negatives_shares": f"{quota(*TWICE)} SELECT stratum, count(*) AS n_pairs, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS pct FROM (SELECT 'hard' AS stratum FROM h UNION ALL SELECT 'medium' FROM m) GROUP BY 1",
+    "ground_truth": f"""{quota(*TWICE)} {split_of(
         f"SELECT x.id_A, x.id_B, x.label, a.manufacturer AS manufacturer_A, a.price AS price_A, b.manufacturer AS manufacturer_B, b.price AS price_B FROM (SELECT id_A, id_B, 1 AS label FROM p UNION ALL SELECT id_A, id_B, 0 FROM h UNION ALL SELECT id_A, id_B, 0 FROM m) x JOIN {CLEANED} a ON x.id_A = a.rec_id JOIN {CLEANED} b ON x.id_B = b.rec_id",
         'id_A, manufacturer_A, price_A, id_B, manufacturer_B, price_B, label')}""",
     "split_stratified": split_of(f"SELECT * FROM {ALL}", "id_A, id_B, label"),
@@ -221,8 +238,11 @@ ORACLE: dict[str, str] = {
     "global_predictions": GLOBAL,
     "confusion": f"SELECT *, {SCORES} FROM (SELECT {COUNTS} FROM ({GLOBAL}))",
     "candidate_metrics": f"SELECT *, {SCORES} FROM (SELECT {COUNTS} FROM test_candidates WHERE label IS NOT NULL AND pred IS NOT NULL)",
-    "serialize_record": f"SELECT id_A, id_B, md5({serialized('A')}) AS a_md5, md5({serialized('B')}) AS b_md5 FROM {pairs('val')}",
-    "pair_lines": f"SELECT md5(concat_ws(chr(9), {serialized('A')}, {serialized('B')}, CASE WHEN label IN (0, 1) THEN label::VARCHAR ELSE '0' END)) AS line_md5 FROM {pairs('val')}",
+    "serialize_record": _union(f"SELECT '{s}' AS part, id_A, id_B, md5({serialized('A')}) AS a_md5, md5({serialized('B')}) AS b_md5 FROM {pairs(s)}" for s in ("train", "val", "test")),
+    "pair_lines": _union(
+        f"SELECT '{n}' AS part, md5(concat_ws(chr(9), {serialized('A')}, {serialized('B')}, CASE WHEN label IN (0, 1) THEN label::VARCHAR ELSE '0' END)) AS line_md5 FROM {pairs(s)} WHERE {cond}"
+        for n, s, cond in (("train", "train", "TRUE"), ("val", "val", "TRUE"), ("test", "test", "TRUE"), ("B1", "test", b1()), ("B2", "test", b2()))
+    ),
     "semi_ids": f"SELECT DISTINCT {REC} AS rec_id FROM {M} WHERE {REC} IN (SELECT {trim('id_A')} FROM test)",
     "anti_ids": f"SELECT DISTINCT {REC} AS rec_id FROM {M} WHERE {REC} NOT IN ({UNION_IDS})",
     "id_union": UNION_IDS,
@@ -247,3 +267,12 @@ INSTANTS = rf"""SELECT DISTINCT raw, loc, CASE WHEN regexp_matches(v, '^[0-9]{{{
 ORACLE["p6_found"] = f"SELECT DISTINCT {REC} AS rec_id, utc_second FROM {M} m JOIN ({INSTANTS.format(M)}) i ON m.pubblication_date = i.raw AND m.location IS NOT DISTINCT FROM i.loc WHERE utc_second IS NOT NULL"
 ORACLE["latest_first"] = f"""SELECT vin, rec_id FROM (SELECT vin, rec_id, row_number() OVER (PARTITION BY vin ORDER BY utc_second DESC NULLS LAST, rec_id) AS n
   FROM (SELECT c.vin, c.rec_id, i.utc_second FROM {CLEANED} c LEFT JOIN ({INSTANTS.format('cleaned_dataset')}) i ON c.pubblication_date = i.raw AND c.location IS NOT DISTINCT FROM i.loc)) WHERE n = 1"""
+_DIFFER = "list_sum(list_transform(range(1, " + str(len(COMPARED) + 1) + "), lambda k: (r.w[k] IS DISTINCT FROM y[k])::INT))"
+ORACLE["leader_dedup"] = f"""WITH RECURSIVE i AS MATERIALIZED ({INSTANTS.format(M).replace("LEFT JOIN location_zones ON loc = location", "CROSS JOIN (SELECT 'UTC' AS zone_name)")}),
+  c AS (SELECT *, vin AS v FROM (SELECT DISTINCT * REPLACE ({VIN} AS vin) FROM {M} WHERE vin IS NOT NULL)),
+  r AS MATERIALIZED (SELECT {REC} AS rec_id, vin, [{', '.join(f'{c}::VARCHAR' for c in COMPARED)}] AS w, row_number() OVER (PARTITION BY vin ORDER BY utc_second DESC NULLS LAST, {REC}) AS n
+    FROM c LEFT JOIN i ON pubblication_date = raw AND location IS NOT DISTINCT FROM loc WHERE {LEGAL} AND NOT {PLACEHOLDER} AND {CHECK}),
+  s AS (SELECT vin, n, rec_id, [w] AS leaders, TRUE AS lead FROM r WHERE n = 1
+    UNION ALL SELECT vin, n, rec_id, CASE WHEN lead THEN list_append(leaders, w) ELSE leaders END, lead
+    FROM (SELECT r.vin, r.n, r.rec_id, r.w, s.leaders, len(list_filter(s.leaders, lambda y: {_DIFFER} <= 3)) = 0 AS lead FROM s JOIN r ON r.vin = s.vin AND r.n = s.n + 1))
+  SELECT rec_id, vin FROM s WHERE lead"""

@@ -5,6 +5,8 @@ Each runs over its whole tables. ``ORACLE`` has the same in SQL where SQL can sa
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,14 +91,35 @@ def missing_patterns(spark: Spark, d: str) -> DataFrame:
 
 @query
 def drop_high_missing(spark: Spark, d: str) -> DataFrame:
-    """The first source with an empty column: the number of columns left when those with more than 70 % nulls are gone."""
-    kept = profile.drop_mostly_missing(_source(spark, d, True).withColumn("theft", F.lit(None).cast("string")), 70.0)
-    return kept.select(F.col("id").alias("rec_id"), F.lit(len(kept.columns)).cast("bigint").alias("n_columns"))
+    """Both sources with an empty column: the number of columns left when those with more than 70 % nulls are gone."""
+    out = []
+    for first in (True, False):
+        kept = profile.drop_mostly_missing(_source(spark, d, first).withColumn("theft", F.lit(None).cast("string")), 70.0)
+        out.append(kept.select(F.col("id").alias("rec_id"), F.lit(len(kept.columns)).cast("bigint").alias("n_columns")))
+    return out[0].unionAll(out[1])
 
 
 @query
 def drop_null_critical(spark: Spark, d: str) -> DataFrame:
-    return profile.drop_incomplete(_source(spark, d, True), mediate.FIRST_CRITICAL).select(F.col("id").alias("rec_id"))
+    """The rows of both sources that lack no critical value."""
+    sides = ((True, mediate.FIRST_CRITICAL), (False, mediate.SECOND_CRITICAL))
+    a, b = (profile.drop_incomplete(_source(spark, d, first), critical).select(F.col("id").alias("rec_id")) for first, critical in sides)
+    return a.unionAll(b)
+
+
+@query
+def dropped_rows(spark: Spark, d: str) -> DataFrame:
+    """How many rows of each source lack each critical value, and how many are dropped for it."""
+    sides = (("vehicles", True, mediate.FIRST_CRITICAL), ("used_cars", False, mediate.SECOND_CRITICAL))
+    a, b = (profile.dropped_counts(_source(spark, d, first), critical).select(F.lit(name).alias("source_name"), "*") for name, first, critical in sides)
+    return a.unionAll(b)
+
+
+@query
+def second_source_cleaned(spark: Spark, d: str) -> DataFrame:
+    """The second source with ids of its own, given before incomplete rows go."""
+    out = mediate.clean_second(_source(spark, d, False).withColumnRenamed("id", "listing"), ["listing"])
+    return out.select("listing", "id")
 
 
 @query
@@ -193,8 +216,10 @@ def positives_self_join(spark: Spark, d: str) -> DataFrame:
     return groundtruth.positive_pairs(_records(spark, d))
 
 
-def _negatives(spark: Spark, d: str, target: int) -> DataFrame:
-    return groundtruth.negative_pairs(_records(spark, d), groundtruth.positive_pairs(_records(spark, d)), target)
+def _negatives(spark: Spark, d: str) -> DataFrame:
+    """Twice as many as there are positives, as far as there are enough."""
+    positives = groundtruth.positive_pairs(_records(spark, d))
+    return groundtruth.negative_pairs(_records(spark, d), positives, 2 * positives.count())
 
 
 @query
@@ -209,12 +234,12 @@ def negatives_medium_candidates(spark: Spark, d: str) -> DataFrame:
 
 @query
 def negatives_quota(spark: Spark, d: str) -> DataFrame:
-    return _negatives(spark, d, 1000).select("id_A", "id_B", "stratum", "label")
+    return _negatives(spark, d).select("id_A", "id_B", "stratum", "label")
 
 
 @query
 def negatives_shares(spark: Spark, d: str) -> DataFrame:
-    return groundtruth.stratum_shares(_negatives(spark, d, 1000))
+    return groundtruth.stratum_shares(_negatives(spark, d))
 
 
 @query
@@ -347,15 +372,25 @@ def candidate_metrics(spark: Spark, d: str) -> DataFrame:
     return evaluate.confusion(table(spark, d, "test_candidates").where("label is not null and pred is not null"))
 
 
+def _serialised_sets(spark: Spark, d: str) -> dict[str, DataFrame]:
+    """All splits and the candidates of both strategies."""
+    sets = {name: _distinct_pairs(spark, d, name) for name in ("train", "val", "test")}
+    return sets | {name: blocking.block(sets["test"], name) for name in ("B1", "B2")}
+
+
 @query
 def serialize_record(spark: Spark, d: str) -> DataFrame:
-    p = _distinct_pairs(spark, d, "val")
-    return p.select("id_A", "id_B", F.md5(serialize.serialized(p, "_A").cast("binary")).alias("a_md5"), F.md5(serialize.serialized(p, "_B").cast("binary")).alias("b_md5"))
+    parts = []
+    for name in ("train", "val", "test"):
+        p = _distinct_pairs(spark, d, name)
+        parts.append(p.select(F.lit(name).alias("part"), "id_A", "id_B", F.md5(serialize.serialized(p, "_A").cast("binary")).alias("a_md5"), F.md5(serialize.serialized(p, "_B").cast("binary")).alias("b_md5")))
+    return reduce(DataFrame.unionAll, parts)
 
 
 @query
 def pair_lines(spark: Spark, d: str) -> DataFrame:
-    return serialize.pair_lines(_distinct_pairs(spark, d, "val")).select(F.md5(F.col("value").cast("binary")).alias("line_md5"))
+    parts = [serialize.pair_lines(p).select(F.lit(name).alias("part"), F.md5(F.col("value").cast("binary")).alias("line_md5")) for name, p in _serialised_sets(spark, d).items()]
+    return reduce(DataFrame.unionAll, parts)
 
 
 @query
