@@ -85,6 +85,12 @@ def test_messages_prefer_one_to_one(spark):
     assert p["c", "z"] == pytest.approx(1 / (1 + np.exp(-2)))
 
 
+def test_messages_that_never_settle_raise(spark):
+    edges = spark.createDataFrame([("a", "x", 5.0), ("a", "y", 3.0), ("b", "x", 4.0)], "u string, v string, w double")
+    with pytest.raises(RuntimeError):
+        _propagate(Stage(spark), edges, 2, 1e-9)
+
+
 def test_hot_blocks_are_split_without_losing_pairs(spark):
     r = random.Random(4)
     df = spark.createDataFrame([(1 if i % 3 else i, i, r.randrange(4), 3, 0, -1) for i in range(120)], "key long, id long, codes long, known long, year int, miles int")
@@ -94,7 +100,8 @@ def test_hot_blocks_are_split_without_losing_pairs(spark):
 
 
 def test_meeting_across_batches():
-    cols = [[1, 1, 1, 2, 2], [5, 6, 7, 5, 8], [1, 1, 0, 0, 0], [1, 1, 0, 0, 0], [2000, 2001, 0, 0, 0], [100, 90000, -1, -1, -1], [0] * 5]
+    known = (1 << 14) - 1
+    cols = [[1, 1, 1, 2, 2], [5, 6, 7, 5, 8], [1, 2, 0, 0, 0], [known, known, 0, 0, 0], [2000, 2001, 0, 0, 0], [100, 90000, -1, -1, -1], [0] * 5]
     for size in (1, 2, 5):
         batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in cols], names=list("abcdefg")) for i in range(0, 5, size)]
         assert sorted(p for b in _meet(iter(batches)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())) == [(5, 7), (5, 8), (6, 7)]
