@@ -33,18 +33,18 @@ def confusion(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFr
     return with_scores(df.agg(*confusion_columns(label, pred)))
 
 
-def threshold_sweep(scores: DataFrame, label: str = "label", prob: str = "prob", thresholds: list[float] | None = None) -> DataFrame:
-    """threshold, tp, fp, fn, tn, precision, recall, f1: all thresholds from one pass over the scores.
+def threshold_sweep(scores: DataFrame, label: str = "label", prob: str = "prob", thresholds: list[float] | None = None, by: list[str] | None = None) -> DataFrame:
+    """threshold, tp, fp, fn, tn, precision, recall, f1 (for each ``by``): all thresholds from one pass over the scores.
 
     Scores are counted per label and step of the grid first; the sums over steps are tiny.
     """
-    grid = sorted(thresholds or THRESHOLDS)
+    grid, by = sorted(thresholds or THRESHOLDS), by or []
     step = F.size(F.filter(F.array(*[F.lit(t) for t in grid]), lambda t: t <= F.col("_p")))
-    counted = scores.select(F.col(label).alias("_y"), F.col(prob).alias("_p")).where("_y is not null and _p is not null").select("_y", step.alias("_s")).groupBy("_s").agg(F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"))
-    at = F.explode(F.array(*[F.struct(F.lit(k + 1).alias("k"), F.lit(t).alias("threshold")) for k, t in enumerate(grid)])).alias("g")
-    spread = counted.select("*", at).select("_s", "pos", "neg", "g.k", "g.threshold")
-    over = F.col("_s") >= F.col("k")
-    sums = spread.groupBy("threshold").agg(F.sum(F.when(over, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(over, F.col("neg")).otherwise(0)).alias("fp"), F.sum(F.when(over, 0).otherwise(F.col("pos"))).alias("fn"), F.sum(F.when(over, 0).otherwise(F.col("neg"))).alias("tn"))
+    counted = scores.select(*by, F.col(label).alias("_y"), F.col(prob).alias("_p")).where("_y is not null and _p is not null").select(*by, "_y", step.alias("_s")).groupBy(*by, "_s").agg(F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"))
+    at = F.explode(F.array(*[F.struct(F.lit(k + 1).alias("_k"), F.lit(t).alias("threshold")) for k, t in enumerate(grid)])).alias("g")
+    spread = counted.select("*", at).select(*by, "_s", "pos", "neg", "g._k", "g.threshold")
+    over = F.col("_s") >= F.col("_k")
+    sums = spread.groupBy(*by, "threshold").agg(F.sum(F.when(over, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(over, F.col("neg")).otherwise(0)).alias("fp"), F.sum(F.when(over, 0).otherwise(F.col("pos"))).alias("fn"), F.sum(F.when(over, 0).otherwise(F.col("neg"))).alias("tn"))
     return with_scores(sums)
 
 

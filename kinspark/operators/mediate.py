@@ -22,6 +22,8 @@ FIRST_DROPPED = ["url", "region_url", "image_url"]
 SECOND_DROPPED = ["engine_type", "listing_id", "main_picture_url", "sp_id"]
 FIRST_CRITICAL = ["manufacturer", "model", "year", "odometer", "fuel"]
 SECOND_CRITICAL = ["make_name", "model_name", "year", "mileage", "fuel_type"]
+FIRST_NUMBERS = ["price", "year", "odometer", "lat", "long"]
+SECOND_NUMBERS = ["price", "year", "mileage", "latitude", "longitude"]
 TEXT_COLUMNS = ["manufacturer", "model", "cylinders", "fuel_type", "transmission", "traction", "body_type", "main_color", "location"]
 NUMBER_COLUMNS = ["year", "price", "mileage"]
 

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.text import to_number
+
 #: Spellings of a missing value in CSV files (fixed values).
 CSV_NULLS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
@@ -26,13 +26,19 @@ def require(spark: SparkSession, path: str) -> str:
     return path
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, columns: list[str] | None = None, nulls: list[str] | None = None, recursive: bool = False) -> DataFrame:
-    """A CSV file or folder with header; quoted line ends and doubled quotes are kept.
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, columns: list[str] | None = None, nulls: list[str] | None = None, recursive: bool = False,
+    multi_line: bool = False, infer: bool = False, doubles: list[str] | None = None,
+) -> DataFrame:
+    """A CSV file or folder with header; doubled quotes are kept.
 
-    Without ``schema`` all columns are text. Spellings of nothing in text columns become
-    null. ``columns`` keeps those of them that exist.
+    Without ``schema`` all columns are text, or what ``infer`` (one more pass over the file)
+    takes them for; those of ``doubles`` that exist become numbers, null where they are
+    none. Spellings of nothing in text columns become null. ``columns`` keeps those of them
+    that exist. ``multi_line`` is for values with quoted line ends: every file is then one
+    task, so read such files once and write them as a table.
     """
-    r = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+    r = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("inferSchema", infer)
     if recursive:
         r = r.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
     if schema is not None:
@@ -40,6 +46,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     df = r.csv(require(spark, path))
     tokens = CSV_NULLS if nulls is None else nulls
     df = df.withColumns({c: F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")) for c, t in df.dtypes if t == "string"})
+    df = df.withColumns({c: to_number(F.col(f"`{c}`")) for c in doubles or [] if c in df.columns})
     return df if columns is None else df.select(*[c for c in columns if c in df.columns])
 
 
@@ -65,16 +72,26 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(require(spark, path))
 
 
+def _file(path: str):
+    """Hadoop's path and file system of ``path``: the pipeline's files may lie on any that Spark knows."""
+    sc = SparkSession.active().sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
 def write_json(value: dict | list, path: str) -> None:
     """A small object of the driver's."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value, indent=4, default=str), encoding="utf-8")
+    p, fs = _file(path)
+    out = fs.create(p, True)
+    out.write(json.dumps(value, indent=4, default=str).encode("utf-8"))
+    out.close()
 
 
 def load_json(path: str) -> dict | list:
-    if not os.path.exists(path):
+    p, fs = _file(path)
+    if not fs.exists(p):
         raise FileNotFoundError(f"not found: {path}")
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+    return json.loads(SparkSession.active().read.text(path, wholetext=True).first()[0])
 
 
 def save_model(model, path: str) -> None:
@@ -135,10 +152,15 @@ class Catalog:
         self._of("model", name, MODELS)
         return f"{self.root}/models/{name}.json"
 
+    @property
+    def evaluation(self) -> str:
+        return f"{self.root}/evaluation.json"
+
     @property
     def report(self) -> str:
         return f"{self.root}/report.json"
 
     def ensure(self) -> None:
         for d in ("blocking", "lines", "models"):
-            Path(self.root, d).mkdir(parents=True, exist_ok=True)
+            p, fs = _file(f"{self.root}/{d}")
+            fs.mkdirs(p)

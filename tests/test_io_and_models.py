@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,13 +13,20 @@ from kinspark.streaming.listings import arriving, read_listings
 def test_csv_round_trip_and_nulls(spark, tmp_path):
     df = spark.createDataFrame([("1", 'a "q"\nline', 1.5), ("2", "NA", None)], "id string, t string, x double")
     io.write_csv(df, str(tmp_path / "c"))
-    got = sorted(tuple(r) for r in io.read_csv(spark, str(tmp_path / "c"), "id string, t string, x double").collect())
+    got = sorted(tuple(r) for r in io.read_csv(spark, str(tmp_path / "c"), "id string, t string, x double", multi_line=True).collect())
     assert got == [("1", 'a "q"\nline', 1.5), ("2", None, None)]
     assert io.read_csv(spark, str(tmp_path / "c"), columns=["id", "nothing"]).dtypes == [("id", "string")]
     with pytest.raises(FileNotFoundError, match="nowhere"):
         io.read_csv(spark, str(tmp_path / "nowhere"))
 
 
+def test_csv_types(spark, tmp_path):
+    spark.createDataFrame([("1", "4.5", "a"), ("2", "x", "NA")], "id string, x string, t string").write.option("header", True).csv(str(tmp_path / "c"))
+    at = str(tmp_path / "c")
+    assert sorted(tuple(r) for r in io.read_csv(spark, at, doubles=["x", "nothing"]).collect()) == [("1", 4.5, "a"), ("2", None, None)]
+    assert dict(io.read_csv(spark, at, infer=True).dtypes) == {"id": "int", "x": "string", "t": "string"}
+
+
 def test_other_files(spark, tmp_path):
     io.write_json({"a": 1}, str(tmp_path / "m" / "x.json"))
     assert io.load_json(str(tmp_path / "m" / "x.json")) == {"a": 1}
@@ -50,6 +58,25 @@ def test_matchers_learn(splits, name):
     assert fitted.score(splits[2].limit(0)).count() == 0
 
 
+def test_saved_model_scores_the_same(spark, splits, tmp_path):
+    fitted = models.fit_distance(splits[0], splits[1], sample=200)
+    fitted.save(str(tmp_path / "m"), str(tmp_path / "m.json"))
+    again = models.load(spark, str(tmp_path / "m"), str(tmp_path / "m.json"))
+    assert again.threshold == fitted.threshold and models.evaluate(again, splits[2]) == models.evaluate(fitted, splits[2])
+    few = models.training_sample(splits[0], 40, 0.5)
+    assert 20 <= few.count() <= 40 and few.columns == splits[0].columns
+
+
+def test_a_scorer_of_batches(splits):
+    def equal_starts():  # inside, so that workers need no import of this file
+        return lambda left, right: np.array([1.0 if a[:40] == b[:40] else 0.1 for a, b in zip(left, right)])
+
+    scorer = models.BatchScorer("starts", equal_starts, batch_size=7).tuned(splits[1])
+    rows = scorer.score(splits[2]).collect()
+    assert rows and {r.prob for r in rows} <= {1.0, 0.1} and all(r.pred == int(r.prob >= scorer.threshold) for r in rows)
+    assert models.compare(*splits, models=("starts",), fitted={"starts": scorer}, strategies=("B1",))[0]["model"] == "starts"
+
+
 def test_comparison_rows(splits):
     rows = models.compare(*splits, models=("text",))
     assert [r["strategy"] for r in rows] == ["B1", "B2"] and rows[0]["tp"] + rows[0]["fn"] == rows[0]["positives_in_test"]
