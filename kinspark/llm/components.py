@@ -38,13 +38,15 @@ def _hooks(edges: DataFrame) -> DataFrame:
 
 
 def _collapse(stage: Stage, hooks: DataFrame) -> DataFrame:
-    """c, p with p the root of c's tree: pointers are doubled until all of them end at roots."""
+    """c, p with p the root of c's tree: pointers are doubled, twice for each table written, until all of them end at roots."""
     pointers = stage.put(hooks, "hooks")
     while True:
-        up = pointers.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        doubled = stage.put(pointers.join(up, "p").select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")), "pointers")
+        up = lambda n: pointers.select(F.col("c").alias(f"p{n}"), F.col("p").alias(f"p{n + 1}"))  # noqa: E731, B023
+        # A step along two pointers, taken twice, is four along one.
+        jumped = pointers.select("c", F.col("p").alias("p1")).join(up(1), "p1").join(up(2), "p2").join(up(3), "p3")
+        after = stage.put(jumped.select("c", F.col("p4").alias("p"), (F.col("p3") != F.col("p4")).alias("moved")), "pointers")
         stage.drop(pointers)
-        pointers = doubled
+        pointers = after
         if not pointers.where("moved").limit(1).count():
             return pointers.select("c", "p")
 
