@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import edit_distance_share, exact, gauss, jaro_winkler, log_ratio, similar
-from ..functions.text import matcher_form
+from ..functions.text import matcher_form, to_number
 
 # The comparisons of the logistic matcher, and the closed vocabularies of the distance matcher.
 SIMILAR = {"manufacturer": 0.85, "model": 0.85, "location": 0.85, "cylinders": 0.70}
@@ -39,15 +39,30 @@ def _category(x: Column, y: Column, words: list[str]) -> dict[str, Column]:
     return {"same": F.coalesce((known & (x == y)).cast("double"), F.lit(0.0)), "other": F.coalesce((known & (x != y)).cast("double"), F.lit(0.0))}
 
 
+def matcher_record(c: str, source: str | None = None) -> Column:
+    """The value of field ``c`` as the distance matcher takes it, by the rule of its class.
+
+    Strings: stripped, whole numbers without their fraction, spellings of nothing null.
+    Numbers: null for what isn't one. Categories: as they are, ``nan`` null.
+    """
+    x = F.col(source or c)
+    if c in RATIOS:
+        return to_number(x)
+    form = matcher_form(x) if c in STRINGS else x.cast("string")
+    return F.when(~F.lower(form).isin(["", "nan", "none"] if c in STRINGS else ["nan"]), form)
+
+
 def distance_features(pairs: DataFrame) -> tuple[DataFrame, list[str]]:
     """``pairs`` with distances of all fields and a flag for each missing one; the feature names."""
     # Forms, then distances, then features: each is computed once, in a projection of its own.
-    out = pairs.withColumns({f"_f_{c}_{s}": F.lower(matcher_form(F.col(f"{c}_{s}"))) for c in STRINGS for s in "AB"})
-    raw = {c: edit_distance_share(F.col(f"_f_{c}_A"), F.col(f"_f_{c}_B")) for c in STRINGS} | {c: log_ratio(F.col(f"{c}_A"), F.col(f"{c}_B")) for c in RATIOS}
-    out = out.withColumns({f"_d_{c}": d for c, d in raw.items()}).drop(*[f"_f_{c}_{s}" for c in STRINGS for s in "AB"])
+    fields = [*STRINGS, *RATIOS, *VOCABULARIES]
+    lower = lambda c, x: x if c in RATIOS else F.lower(x)
+    out = pairs.withColumns({f"_f_{c}_{s}": lower(c, matcher_record(c, f"{c}_{s}")) for c in fields for s in "AB"})
+    raw = {c: edit_distance_share(F.col(f"_f_{c}_A"), F.col(f"_f_{c}_B")) for c in STRINGS} | {c: log_ratio(F.col(f"_f_{c}_A"), F.col(f"_f_{c}_B")) for c in RATIOS}
+    out = out.withColumns({f"_d_{c}": d for c, d in raw.items()})
     cols: dict[str, Column] = {}
     for c in raw:
         cols |= {f"d_{c}": F.coalesce(f"_d_{c}", F.lit(0.0)), f"miss_{c}": F.col(f"_d_{c}").isNull().cast("double")}
     for c, words in VOCABULARIES.items():
-        cols |= {f"{k}_{c}": v for k, v in _category(F.lower(F.col(f"{c}_A")), F.lower(F.col(f"{c}_B")), words).items()}
-    return out.withColumns(cols).drop(*[f"_d_{c}" for c in raw]), list(cols)
+        cols |= {f"{k}_{c}": v for k, v in _category(F.col(f"_f_{c}_A"), F.col(f"_f_{c}_B"), words).items()}
+    return out.withColumns(cols).drop(*[f"_d_{c}" for c in raw], *[f"_f_{c}_{s}" for c in fields for s in "AB"]), list(cols)

@@ -144,6 +144,16 @@ def gauss(c: str, o: float, s: float) -> str:
     return f"round(coalesce(CASE WHEN {d} <= {o} THEN 1.0 ELSE pow(2.0, -pow(({d} - {o}) / {s}, 2)) END, 0.0), 6)::DOUBLE AS near_{c}"
 
 
+LOGISTIC_SQL = ", ".join([sim(c, t) for c, t in SIMILAR.items()] + [f"coalesce(({c}_A = {c}_B)::INT::DOUBLE, 0.0) AS same_{c}" for c in EXACT] + [gauss(c, *p) for c, p in GAUSS.items()])
+
+
+def record_form(c: str) -> str:
+    if c in RATIOS:
+        return c
+    form, nothing = (matcher(c, c in NUMERIC), "'', 'nan', 'none'") if c in STRINGS else (c, "'nan'")
+    return f"CASE WHEN lower({form}) NOT IN ({nothing}) THEN {form} END AS {c}"
+
+
 def distances() -> str:
     out = []
     for c in STRINGS:
@@ -230,7 +240,9 @@ ORACLE: dict[str, str] = {
     "block_stats": _union([stats("B1", b1()), stats("B2", b2())]),
     "block_value_pairs": f"WITH k AS (SELECT DISTINCT {YEAR.format('year')} AS y, {FORM.format('manufacturer')} AS m FROM {M} WHERE {YEAR.format('year')} <> '') SELECT a.y, a.m AS ma, b.m AS mb FROM k a JOIN k b ON a.y = b.y AND substr(a.m, 1, 3) = substr(b.m, 1, 3) AND a.m < b.m WHERE jaro_winkler_similarity(a.m, b.m) >= 0.95",
     "jaro_winkler_values": "SELECT model_A, model_B, round(jaro_winkler_similarity(model_A, model_B), 6) AS similarity FROM (SELECT DISTINCT model_A, model_B FROM train WHERE model_A IS NOT NULL AND model_B IS NOT NULL)",
-    "features_lr": f"SELECT id_A, id_B, label, {', '.join([sim(c, t) for c, t in SIMILAR.items()] + [f'coalesce(({c}_A = {c}_B)::INT::DOUBLE, 0.0) AS same_{c}' for c in EXACT] + [gauss(c, *p) for c, p in GAUSS.items()])} FROM {pairs('train')}",
+    "features_lr": f"SELECT id_A, id_B, label, {LOGISTIC_SQL} FROM {pairs('train')}",
+    "features_from_records": f"SELECT id_A, id_B, label, {LOGISTIC_SQL} FROM (SELECT p.id_A, p.id_B, p.label, {', '.join(f'a.{c} AS {c}_A, b.{c} AS {c}_B' for c in [*SIMILAR, *EXACT, *GAUSS])} FROM {ALL} p JOIN {CLEANED} a ON p.id_A = a.rec_id JOIN {CLEANED} b ON p.id_B = b.rec_id)",
+    "matcher_records": f"SELECT rec_id, {', '.join(record_form(c) for c in [*STRINGS, *RATIOS, *VOCABULARIES])} FROM (SELECT DISTINCT {REC} AS rec_id, {', '.join([*STRINGS, *RATIOS, *VOCABULARIES])} FROM {M}) WHERE rec_id IN (SELECT id_A FROM {ALL} UNION SELECT id_B FROM {ALL})",
     "features_distance": f"SELECT id_A, id_B, label, {distances()} FROM {pairs('train')}",
     "threshold_sweep": SWEEP,
     "best_threshold": f"SELECT threshold, f1 FROM ({SWEEP}) ORDER BY coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0) DESC, threshold LIMIT 1",

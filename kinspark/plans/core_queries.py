@@ -14,13 +14,14 @@ from ..functions import text
 from ..functions import vin as V
 from ..functions.similarity import jaro_winkler
 from ..functions.timestamps import listing_instants
-from ..matching.features import LOGISTIC, distance_features, logistic_features
+from ..matching.features import LOGISTIC, RATIOS, STRINGS, VOCABULARIES, distance_features, logistic_features, matcher_record
 from ..matching.models import fit_distance, fit_logistic, fit_text
 from ..operators import blocking, evaluate, groundtruth, hash_order, mediate, profile, serialize
 from ..sources.tables import MEDIATED, PAIR_ATTRIBUTES, rec_id, records, table
 
 Spark = SparkSession
 QUERIES = {}
+FIELDS = [*STRINGS, *RATIOS, *VOCABULARIES]
 NUMERIC = ["price", "year", "mileage", "latitude", "longitude"]
 
 
@@ -330,6 +331,21 @@ def features_distance(spark: Spark, d: str) -> DataFrame:
     return p.select("id_A", "id_B", "label", *[F.round(c, 6).alias(c) for c in names])
 
 
+@query
+def features_from_records(spark: Spark, d: str) -> DataFrame:
+    """The same features where pairs have ids only and both records are looked up."""
+    p = logistic_features(groundtruth.with_attributes(_all_pairs(spark, d), _records(spark, d)))
+    return p.select("id_A", "id_B", "label", *[F.round(c, 6).alias(c) for c in LOGISTIC])
+
+
+@query
+def matcher_records(spark: Spark, d: str) -> DataFrame:
+    """The listings of the training pairs as the distance matcher takes them."""
+    ids = _all_pairs(spark, d).select(F.explode(F.array("id_A", "id_B")).alias("rec_id")).distinct()
+    rows = records(spark, d, *FIELDS).distinct().join(ids, "rec_id", "left_semi")
+    return rows.select("rec_id", *[matcher_record(c).alias(c) for c in FIELDS])
+
+
 def _scores(spark: Spark, d: str) -> DataFrame:
     return table(spark, d, "test_candidates").where("label is not null and prob is not null").select("label", "prob")
 
