@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stage import Stage
+from .batches import slices
 from .cells import spread
 
 WORDS, BITS = 3, 192
@@ -161,8 +162,7 @@ def _sketch(min_words: int, top: int, bottom: int, bands: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = Values(bands)
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            for part in slices(b, 1):
                 words = [t.split() for t in part.column(1).to_pylist()]
                 enough = pa.array([len(w) >= min_words for w in words], pa.bool_())
                 words = [w for w in words if len(w) >= min_words]

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stage import Stage
+from .batches import slices
 from .near_duplicates import Classes, Values, usable, word_bands
 
 PASSAGE = 2
@@ -56,7 +57,7 @@ def _forms(min_words: int, bands: dict[int, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = Values(bands)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             words = [t.split() for t in b.column(1).to_pylist()]
             enough = pa.array([len(w) >= min_words for w in words], pa.bool_())
             words = [w for w in words if len(w) >= min_words]

@@ -2,10 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from kinspark.llm.batches import slices
 from kinspark.llm.leakage import leaked, winnow, words
 from kinspark.llm.line_labels import Tokens, page_shares, shares, train
 from kinspark.llm.packing import best_two_fit, pack, token_counts
@@ -74,6 +76,15 @@ def test_words():
     assert words("Éa-B1's\n2") == ["a", "b1", "s", "2"] and words(None) == []
 
 
+def test_slices_keep_every_row():
+    texts = ["a" * n for n in (0, 5, 30, 1, 1, 100, 2, 0, 9, 9)] + [None, "b"]
+    b = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(texts)], names=["i", "t"])
+    parts = list(slices(b, 1, rows=4, size=20))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(12)) and all(0 < p.num_rows <= 4 for p in parts)
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 20 for p in parts)
+    assert list(slices(b.slice(0, 0), 1)) == []
+
+
 PROSE = "We drove the car to the coast and it was quiet on the way back. The brakes feel good and the oil was changed in May."
 LINKS = "\n".join(f"[Cheap Type {i}](http://www.a-{i}.example/type-{i}-used) | Cheap Make >> b-{i}.example/x" for i in range(20))
 TAGS = " ".join(f"#cheaptype{i}" for i in range(60))
