@@ -7,7 +7,7 @@ from kinspark.plans import core_queries
 def test_lr_fit_predict_tunes_over_all_strengths(monkeypatch):
     tried = []
 
-    def tune(name, featurize, names, train, val, strengths, balances):
+    def tune(name, names, train, val, strengths, balances):
         tried.extend(strengths)
         return type("F", (), {"score": lambda self, pairs: pairs})()
 
