@@ -60,6 +60,7 @@ class Stage:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/kinspark-{uuid.uuid4().hex}"
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()  # they outlive the session
         _OPEN[self.root] = self
 
     def put(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -72,9 +73,8 @@ class Stage:
         return back
 
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration(self.spark.sparkContext._jsc.hadoopConfiguration())).delete(p, True)
+        p = self.jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.conf).delete(p, True)
 
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
