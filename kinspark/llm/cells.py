@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 KEYS_TO_DRIVER = 100_000
 
 
-def spread(rows: DataFrame, key: str, by: str, most: int, keys: DataFrame | None = None) -> DataFrame:
+def spread(rows: DataFrame, key: str, by: str, most: int, keys: DataFrame | None = None, scale: int = 1) -> DataFrame:
     """``rows`` with ``key`` replaced by the number of a cell, and ``part``.
 
     A key with up to ``most`` rows is one cell, part 0. A larger one is cut into parts by the
@@ -16,9 +16,12 @@ def spread(rows: DataFrame, key: str, by: str, most: int, keys: DataFrame | None
     are to meet) and each part one of its own (part 0). Every pair of rows with different
     ``by`` so meets in exactly one cell, and no cell has more than about twice ``most`` rows.
     The hot keys are sent along with the tasks up to ``KEYS_TO_DRIVER`` of them, else joined.
-    ``keys`` (key, once for each row) may be given where they are cheaper to count than ``rows``, without keys that certainly aren't hot.
+    ``keys`` (key, once for each row) may be given where they are cheaper to count than ``rows``,
+    without keys that certainly aren't hot, or those of one row in ``scale``: sizes are then
+    estimates, on which nothing depends but how large the cells are.
     """
-    hot = (rows if keys is None else keys).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
+    n = F.count("*") * scale
+    hot = (rows if keys is None else keys).groupBy(key).agg(n.alias("_n")).where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
     some = hot.limit(KEYS_TO_DRIVER + 1).collect()
     if not some:
         return rows.withColumn("part", F.lit(0))

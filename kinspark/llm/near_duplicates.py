@@ -52,6 +52,7 @@ HEAVY = 0.0005
 BAND, WORD = 56, 24
 SHORT, TILE, WIDE = 64, 64, 4096
 MEMO = 500_000
+EVERY = 8  # list sizes are estimated from one class in so many
 
 
 class _Memo(dict):
@@ -361,8 +362,9 @@ def near_duplicates(texts: DataFrame, *, min_words: int = 20, share: tuple[int,
     of = Classes(rows, stage, _sketch(min_words, *share, bands), {"size": "int", "sketch": "array<bigint>"} | dict.fromkeys(PARITY, "bigint"))
     schema = ", ".join(["key long", "cid long", "size int", "place int", *(f"{p} long" for p in PARITY)])
     lists = of.classes.select("cid", "size", "sketch", *PARITY).mapInArrow(_listed, schema)
-    common_keys = of.classes.select(F.explode("sketch").alias("key")).where(F.col("key") >= common << BAND)
-    lists = spread(lists, "key", "cid", most, common_keys)
+    some = of.classes.where(F.pmod(F.xxhash64("cid"), F.lit(EVERY)) == 0)
+    common_keys = some.select(F.explode("sketch").alias("key")).where(F.col("key") >= common << BAND)
+    lists = spread(lists, "key", "cid", most, common_keys, EVERY)
     packed = F.shiftleft(F.col("size").cast("bigint"), 32) + F.col("place") * 4 + F.col("part") + 1
     lists = lists.select("key", "cid", *PARITY, packed.alias("packed"))
     met = lists.repartition("key").sortWithinPartitions("key").mapInArrow(Lists(*share), "a long, b long").distinct()

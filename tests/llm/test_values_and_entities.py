@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinspark.llm.canonical import Resolver, canonical_entries, typing_distance
-from kinspark.llm.entity_match import _meet, _propagate, _spread, match_sources
+from kinspark.llm.entity_match import _cells_of, _meet, _propagate, match_sources
 from kinspark.llm.survivors import survivors
 from kinspark.operators.stage import Stage
 from kinspark.sources.tables import MEDIATED
@@ -94,7 +94,7 @@ def test_messages_that_never_settle_raise(spark):
 def test_hot_blocks_are_split_without_losing_pairs(spark):
     r = random.Random(4)
     df = spark.createDataFrame([(1 if i % 3 else i, i, r.randrange(4), 3, 0, -1) for i in range(120)], "key long, id long, codes long, known long, year int, miles int")
-    run = lambda most: sorted((x.i, x.j) for x in _spread(df, most).repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "i long, j long").collect())
+    run = lambda most: sorted((x.i, x.j) for x in _cells_of(df, df, most, 1).mapInArrow(_meet, "i long, j long").collect())
     whole = run(1000)
     assert len(whole) > 500 and run(10) == whole
 
