@@ -7,11 +7,11 @@
    other in more than ``WRONG`` fields go where the block is read. Blocks of more than
    ``most`` rows are split into cells.
 3. Each field of a pair has a level: unknown, or how far both agree. What a level says is
-   learned: how often it comes among random pairs of records (a hashed sample of about ``random``
-   records, paired in ``SHIFTS`` ways), and among matches, by expectation maximisation over a
-   hashed sample of about ``sample`` candidate pairs. For equal places, models and makes the rarity
-   of the value, counted over all records, takes the place of the first. A pair's log-odds in
-   bits are the sum, less the bits that single one record out of all.
+   learned by expectation maximisation over all pairs of records: candidates by how alike they are,
+   the others, which are no matches, through the counts of each level among all pairs, which follow
+   from the counts of the values. For equal places, models and makes the rarity of the value takes
+   the place of its chance among the others. A pair's log-odds in bits are the sum and
+   what the share of matches among all pairs is worth.
 4. Listings of one source that match each other with near certainty are one unit; units
    are what the one-to-one factors hold for, so a car may have several listings.
 5. Belief propagation over the candidate pairs of units: each pair is a yes/no variable with
@@ -51,7 +51,7 @@ PRICES = (0.02, 0.05, 0.1, 0.25)  # shares of the larger one
 YEARS = 2
 WRONG = 1
 EVERY = 8  # block sizes are estimated from one record in so many
-SHIFTS, ROUNDS_EM = 32, 15
+ROUNDS_EM = 15
 HEAVY = 0.0005
 
 
@@ -255,43 +255,156 @@ def _shares(counts: np.ndarray, field: str, little: float) -> np.ndarray:
     return out
 
 
-def _learn(levels: dict[str, np.ndarray], rarity: dict[str, np.ndarray], times: np.ndarray, chance: dict[str, np.ndarray], prior: float) -> dict[str, np.ndarray]:
-    """Bits that each level of each field is worth; for RARE levels without the rarity. ``times``: pairs that are so alike; ``chance``: counts of the levels among random pairs."""
-    n = len(next(iter(levels.values())))
-    random = {f: _shares(chance[f], f, 0.5) for f in levels}
-    for f, k in RARE:
-        random[f][k] = 1.0  # the rarity comes on top
-    match = {f: _shares(np.array([0, 0.9, 0.1, 0.05, 0.02, 0.02]), f, 0) for f in levels}
-    for _ in range(ROUNDS_EM):
-        bits = np.full(n, prior)
-        for f, level in levels.items():
-            worth = np.log2(match[f] / random[f])
-            worth[0] = 0
-            bits += worth[level]
-            for (g, k), name in RARE.items():
-                if g == f:
-                    bits += np.where(level == k, rarity[name], 0)
-        likely = times / (1 + 2.0 ** -np.clip(bits, -60, 60))
-        match = {f: _shares(np.bincount(level, likely, LEVELS), f, 0.1) for f, level in levels.items()}
-    out = {f: np.log2(match[f] / random[f]) for f in levels}
-    for worth in out.values():
-        worth[0] = 0
-    return out
+def _patterns(compared: DataFrame) -> DataFrame:
+    """code, n: how many of the compared pairs are so alike; a code has 3 bits for each level and 4 for each rarity in whole bits."""
+    code = F.lit(0).cast("bigint")
+    for at, f in enumerate(COMPARED):
+        code = code.bitwiseOR(F.shiftleft(F.col(f"l_{f}").cast("bigint"), 3 * at))
+    for at, ((f, k), c) in enumerate(RARE.items()):
+        code = code.bitwiseOR(F.shiftleft(F.when(F.col(f"l_{f}") == k, F.round(c)).otherwise(0).cast("bigint"), 3 * len(COMPARED) + 4 * at))
+    return compared.groupBy(code.alias("code")).agg(F.count("*").alias("n"))
+
+
+def _matches_at(worth: dict[str, np.ndarray], prior: float):
+    """Patterns (code, n) to a row: how many matches are expected among their pairs at each level of each field."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(COMPARED), LEVELS))
+        for b in batches:
+            code, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            levels = [code >> 3 * at & 7 for at in range(len(COMPARED))]
+            bits = np.full(len(code), prior)
+            for f, level in zip(COMPARED, levels):
+                bits += worth[f][level]
+            for at in range(len(RARE)):
+                bits += code >> 3 * len(COMPARED) + 4 * at & 15
+            likely = n / (1 + 2.0 ** -np.clip(bits, -60, 60))
+            for at, level in enumerate(levels):
+                total[at] += np.bincount(level, likely, LEVELS)
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["total"])
 
+    return run
+
+
+def _learn(patterns: DataFrame, chance: dict[str, np.ndarray], n: int) -> tuple[dict[str, np.ndarray], float]:
+    """Bits that each level of each field is worth, for RARE levels without the rarity, and those of a pair of which nothing is known.
+
+    Expectation maximisation over all pairs of the ``n`` records: ``patterns`` are those of the candidates, ``chance`` counts
+    the levels of all pairs; pairs that are no candidates aren't matches.
+    """
+    pairs, prior = max(n * (n - 1) / 2, 1), -math.log2(max(n, 2))
+    match = {f: _shares(np.array([0, 0.9, 0.1, 0.05, 0.02, 0.02]), f, 0) for f in COMPARED}
+    matched = {f: np.zeros(LEVELS) for f in COMPARED}
 
-def _by_chance(coded: DataFrame, random: int) -> dict[str, np.ndarray]:
-    """How often each level of each field comes among random pairs of a hashed sample of records."""
-    share = min(1.0, random / max(coded.count(), 1))
-    rows = coded.where(F.pmod(F.xxhash64("rec"), F.lit(1 << 30)) < math.ceil(share * (1 << 30))).orderBy("rec").collect()
-    spark = coded.sparkSession
-    if len(rows) < 2:
-        return {f: np.zeros(LEVELS) for f in COMPARED}
-    known = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], coded.schema.add("k", "long"))
-    shifts = sorted({1 + (len(rows) - 2) * s // SHIFTS for s in range(SHIFTS)})
-    left = known.withColumn("other", F.explode(F.array(*map(F.lit, shifts)))).withColumn("other", (F.col("k") + F.col("other")) % len(rows))
-    pairs = left.alias("a").join(F.broadcast(known.alias("b")), F.col("a.other") == F.col("b.k")).select(*[c.alias(f) for f, c in _levels().items()])
-    one = pairs.agg(*[F.count_if(F.col(f) == k).alias(f"{f}_{k}") for f in COMPARED for k in range(LEVELS)]).first()
-    return {f: np.array([one[f"{f}_{k}"] for k in range(LEVELS)], float) for f in COMPARED}
+    def worth() -> dict[str, np.ndarray]:
+        out = {}
+        for f in COMPARED:
+            random = _shares(np.maximum(chance[f] - matched[f], 0), f, 0.5)
+            for g, k in RARE:
+                if g == f:
+                    random[k] = 1.0  # the rarity comes on top
+            out[f] = np.log2(match[f] / random)
+            out[f][0] = 0
+        return out
+
+    for _ in range(ROUNDS_EM):
+        rows = patterns.mapInArrow(_matches_at(worth(), prior), "total array<double>").collect()
+        total = np.sum([r["total"] for r in rows], axis=0).reshape(len(COMPARED), LEVELS) if rows else np.zeros((len(COMPARED), LEVELS))
+        matched = dict(zip(COMPARED, total))
+        match = {f: _shares(matched[f], f, 0.1) for f in COMPARED}
+        prior = math.log2((total[0].sum() + 0.5) / pairs)
+    return worth(), prior
+
+
+def _near(x: np.ndarray, y: np.ndarray, n: np.ndarray, own: np.ndarray, reach: float) -> float:
+    """Points (x, y), ``n`` of each, within ``reach`` of the points that are ``own``: the sum over these, themselves included."""
+    order = np.argsort(x, kind="stable")
+    x, y, n, own = x[order], y[order], n[order], own[order]
+    ys = np.sort(y)
+    code, weight, times = np.searchsorted(ys, y), n, n[own]
+    total = 0.0
+    left, right = np.searchsorted(x, x[own] - reach), np.searchsorted(x, x[own] + reach, side="right")
+    below = [np.searchsorted(ys, y[own] + reach, side="right"), np.searchsorted(ys, y[own] - reach)]
+    ends = [(left, right), (left, right)]
+    for bit in range(len(x).bit_length() - 1, -1, -1):  # a wavelet matrix over the ranks of y, of which only one level is held
+        one = code >> bit & 1 == 1
+        zeros, held = np.r_[0, np.cumsum(~one)], np.r_[0, np.cumsum(np.where(one, 0, weight))]
+        for k, (rank, (s, e)) in enumerate(zip(below, ends)):
+            up = rank >> bit & 1 == 1
+            total += (1 - 2 * k) * float((times * (held[e] - held[s]))[up].sum())
+            ends[k] = tuple(np.where(up, zeros[-1] + z - zeros[z], zeros[z]) for z in (s, e))
+        code, weight = np.r_[code[~one], code[one]], np.r_[weight[~one], weight[one]]
+    return total
+
+
+#: For the numbers: what is added before the logarithm and the base (else the width) of ranges of which one and the next hold all values near a value.
+RANGES = {"year": (None, YEARS), "miles": (MILES[-1][0] / MILES[-1][1], 1 - MILES[-1][1]), "price": (0, 1 - PRICES[-1])}
+
+
+def _reach(field: str, x: np.ndarray) -> list[np.ndarray]:
+    """How far below x a value may be for each level."""
+    if field == "year":
+        return [np.full(len(x), d) for d in range(YEARS + 1)]
+    return [most + share * x for most, share in MILES] if field == "miles" else [share * x for share in PRICES]
+
+
+def _near_values(key: tuple, rows: pa.Table) -> pa.Table:
+    """field, level, n: pairs up to each level that have their larger value in this range."""
+    x, n, own = (rows.column(c).to_numpy() for c in ("x", "n", "own"))
+    order = np.argsort(x, kind="stable")
+    x, n, own = x[order], n[order], own[order]
+    up_to, mine, times = np.r_[0, np.cumsum(n)], x[own], n[own].astype(float)
+    first = up_to[np.searchsorted(x, mine)]
+    field = key[0].as_py()
+    pairs = [float((times * (first - up_to[np.searchsorted(x, mine - reach)]) + times * (times - 1) / 2).sum()) for reach in _reach(field, mine)]
+    return pa.table({"field": [field] * len(pairs), "level": pa.array(range(1, len(pairs) + 1), pa.int32()), "n": pairs})
+
+
+def _near_places(key: tuple, rows: pa.Table) -> pa.Table:
+    x, y, n, own = (rows.column(c).to_numpy() for c in ("lat", "lon", "n", "own"))
+    pairs = [(_near(x, y, n, own, d) - float(n[own].sum())) / 2 for d in DEGREES]
+    return pa.table({"field": ["place"] * len(pairs), "level": pa.array(range(1, len(pairs) + 1), pa.int32()), "n": pairs})
+
+
+def _by_chance(coded: DataFrame) -> dict[str, np.ndarray]:
+    """How many of all pairs of records stand at each level of each field, counted from the values of all records."""
+    two = lambda n: n * (n - 1) / 2
+    named = F.col("model") != 0
+    codes = {c: F.col(c) for c in ("loc", "cyl", "body", "gear", "drive", "fuel", "vin")} | {c: F.when(F.col(c) != 0, F.col(c)) for c in ("color", "model", "make")}
+    codes["made"] = F.when(named, codes["make"])  # of records that have a model too
+    values = coded.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), c.cast("bigint").alias("v")) for f, c in codes.items()]))).where("v is not null")
+    n = F.col("n").cast("double")
+    each = values.groupBy("field", "v").agg(F.count("*").alias("n")).groupBy("field").agg(F.sum(n * (n - 1) / 2).alias("same"), F.sum("n").alias("known"))
+    found = {r["field"]: (r["same"], two(r["known"])) for r in each.collect()}
+    get = lambda f: np.array(found.get(f, (0.0, 0.0)))
+    out = {f: np.zeros(LEVELS) for f in COMPARED}
+    for f in COMPARED:
+        if f in codes:
+            same, known = get(f)
+            out[f][1:3] = same, known - same
+    (same, known), (alike, made) = get("model"), get("make") - get("made")
+    out["name"][1:5] = same, known - same, alike, made - alike
+
+    numbers = coded.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("x")) for f in RANGES]))).where("x is not null")
+    counts = numbers.groupBy("field", "x").agg(F.count("*").alias("n"))
+    at = F.lit(None).cast("bigint")
+    for f, (more, step) in RANGES.items():
+        at = F.when(F.col("field") == f, F.floor(F.col("x") / step) if more is None else F.floor(F.log(F.col("x") + more) / -math.log(step))).otherwise(at)
+    ranges = F.inline(F.array(F.struct(at.alias("range"), F.lit(True).alias("own")), F.struct((at + 1).alias("range"), F.lit(False).alias("own"))))
+    lines = counts.select("field", "x", "n", ranges).groupBy("field", "range").applyInArrow(_near_values, "field string, level int, n double")
+    cell = lambda c: F.explode(_cells(F.col(c).cast("double"), 2.01 * DEGREES[-1], 1.0))
+    places = coded.where("lat is not null").groupBy("lat", "lon").agg(F.count("*").alias("n")).select("*", cell("lat").alias("i")).select("*", cell("lon").alias("j"))
+    places = places.withColumn("own", (F.floor(F.col("lat").cast("double")) == F.col("i")) & (F.floor(F.col("lon").cast("double")) == F.col("j")))
+    places = places.select(F.col("lat").cast("double"), F.col("lon").cast("double"), "n", "own", "i", "j").groupBy("i", "j").applyInArrow(_near_places, "field string, level int, n double")
+    known = coded.select(*[F.count(c).alias(c) for c in ("year", "miles", "price", "lat")]).first()
+    last = {"year": YEARS + 2, "miles": len(MILES) + 1, "price": len(PRICES) + 1, "place": len(DEGREES) + 1}
+    for f, k in last.items():
+        out[f][k] = two(known["lat" if f == "place" else f])
+    for r in lines.unionByName(places).groupBy("field", "level").agg(F.sum("n").alias("n")).collect():
+        out[r["field"]][r["level"]] = r["n"]
+    for f, k in last.items():
+        out[f][1 : k + 1] = np.diff(np.r_[0, out[f][1 : k + 1]])
+    return out
 
 
 def _propagate(stage: Stage, edges: DataFrame, rounds: int, settle: float) -> DataFrame:
@@ -318,7 +431,7 @@ def _propagate(stage: Stage, edges: DataFrame, rounds: int, settle: float) -> Da
 
 
 def match_sources(
-    records: DataFrame, reference: DataFrame, *, same_source: float = 0.95, least: float = 0.02, rounds: int = 100, settle: float = 0.05, most: int = 4000, sample: int = 200_000, random: int = 10_000
+    records: DataFrame, reference: DataFrame, *, same_source: float = 0.95, least: float = 0.02, rounds: int = 100, settle: float = 0.05, most: int = 4000
 ) -> DataFrame:
     """rec_id_a (first source), rec_id_b (second source), probability of each pair above ``least``."""
     stage = Stage(records.sparkSession)
@@ -335,12 +448,9 @@ def match_sources(
     compared = stage.put(pairs.select(*ends, *levels, *[F.col(f"a.{c}").alias(c) for c in RARE.values()]), "compared")
     stage.drop(met)
 
-    prior = -math.log2(max(n, 2))
-    share = min(1.0, sample / max(compared.count(), 1))
-    some = compared.where(F.pmod(F.xxhash64("i", "j"), F.lit(1 << 30)) < math.ceil(share * (1 << 30)))
-    alike = some.groupBy(*[f"l_{f}" for f in COMPARED], *[F.when(F.col(f"l_{f}") == k, F.round(c)).otherwise(0.0).alias(c) for (f, k), c in RARE.items()]).agg(F.count("*").alias("n"))
-    rows = np.array([tuple(r) for r in alike.collect()], float).reshape(-1, len(COMPARED) + len(RARE) + 1).T
-    worth = _learn({f: x.astype(np.int64) for f, x in zip(COMPARED, rows)}, dict(zip(RARE.values(), rows[len(COMPARED) :])), rows[-1], _by_chance(coded, random), prior)
+    patterns = stage.put(_patterns(compared), "patterns")
+    worth, prior = _learn(patterns, _by_chance(coded), n)
+    stage.drop(patterns)
     bits = F.lit(prior)
     for f, by_level in worth.items():
         bits = bits + F.element_at(F.array(*[F.lit(float(x)) for x in by_level]), F.col(f"l_{f}").cast("int") + 1)
