@@ -6,13 +6,12 @@ repetition, symbols) and its words; no list of words is given. The states are pr
 list, menu and code; Viterbi labels every piece of every text, whatever its length, and a page is
 flagged if more than half of its words stand in link lists, tag lists and menus.
 
-The model is trained by Baum-Welch on about ``sample`` documents without labels, chosen by a
-hash of their ids, of up to ``longest`` characters each. Written down are
-only a rough guess of the features' chances, which counts as ``PRIOR`` pieces a state, and
+The model is trained by Baum-Welch on all documents, without labels: each round reads them all,
+sums what it expects in the tasks and gathers the sums. Written down are a rough guess of the features' chances, which counts as ``PRIOR`` pieces a state, and
 that neighbouring pieces tend to be of one kind. What words say of a state (``-LIMIT`` to
 ``LIMIT``) is learned: from links, tags and separators to the words beside them, from there
-to keywords in the shape of sentences. Words that the sample lacks say nothing, so text in
-another language is judged by its features.
+to keywords in the shape of sentences. Words are known by one of ``BUCKETS`` hashes, whatever their
+number; those of fewer than three pieces say nothing, so text in a rare language is judged by its features.
 
 Null, blank and wordless texts are never flagged; each row is judged by itself; an empty
 table gives an empty result; other columns are ignored.
@@ -20,14 +19,14 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
+import itertools
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +46,7 @@ GUESS = np.array([
 ])
 STAY, START, PRIOR = 0.85, np.array((0.69, 0.1, 0.1, 0.1, 0.01)), 500.0
 LIMIT, SMOOTH, ROUNDS = 0.7, 20.0, 8
-MEMO = 500_000
+MEMO, BUCKETS = 500_000, 1 << 20
 LINK = re.compile(r"https?://|www\.|href=|\]\(|^[a-z0-9-]+\.[a-z]{2,}/|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,8}/\S", re.I)
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 SYMBOL = re.compile(r"[{}=]|^[+!&<]+$|\w\(|\)\W*\)")
@@ -62,6 +61,13 @@ class Tokens(dict):
     def __init__(self) -> None:
         super().__init__()
         self.words: dict[str, int] = {}
+        self.hashed = np.empty(0, np.int64)
+
+    def hashes(self) -> np.ndarray:
+        """The hash of each word, in the order of their numbers."""
+        fresh = list(itertools.islice(self.words, len(self.hashed), None))
+        self.hashed = np.r_[self.hashed, np.fromiter((xxhash.xxh3_64_intdigest(w) % BUCKETS for w in fresh), np.int64, len(fresh))]
+        return self.hashed
 
     def __missing__(self, t: str) -> int:
         word = EDGE.sub("", t).lower()
@@ -89,6 +95,7 @@ def pieces_of(texts: list[str | None], tokens: Tokens) -> Pieces:
     if len(tokens) > MEMO:
         tokens.clear()
         tokens.words.clear()
+        tokens.hashed = tokens.hashed[:0]
     flat: list[str] = []
     text, ends, short = [], [0], []
     for k, t in enumerate(texts):
@@ -143,12 +150,12 @@ def _steps(text: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
 
 @dataclass
 class Model:
-    """Logarithms of the chances; ``says``: word -> what it says of each state."""
+    """Logarithms of the chances; ``says``: hashes of the words that say something of the states, ascending, and ``weight`` what they say, after a row for all others."""
 
     start: np.ndarray
     move: np.ndarray
     chance: np.ndarray
-    says: dict[str, int]
+    says: np.ndarray
     weight: np.ndarray
 
     def emission(self, p: Pieces, numbers: np.ndarray) -> np.ndarray:
@@ -162,7 +169,11 @@ class Model:
         return out
 
     def numbers(self, tokens: Tokens) -> np.ndarray:
-        return np.fromiter((self.says.get(w, 0) for w in tokens.words), np.int64, len(tokens.words))
+        hashes = tokens.hashes()
+        if not len(self.says):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.says, hashes), len(self.says) - 1)
+        return np.where(self.says[at] == hashes, at + 1, 0)
 
     def viterbi(self, p: Pieces, numbers: np.ndarray) -> np.ndarray:
         """The state of each piece."""
@@ -208,32 +219,78 @@ class Model:
         return both / both.sum(axis=1, keepdims=True), moves
 
 
-def train(texts: list[str]) -> Model:
-    """Baum-Welch on unlabelled texts, from the guess, in ``ROUNDS`` rounds; the guess goes on counting as a prior."""
-    k, tokens = len(STATES), Tokens()
-    stay = np.full((k, k), (1 - STAY) / (k - 1)) + np.eye(k) * (STAY - (1 - STAY) / (k - 1))
-    model = Model(np.log(START), np.log(stay), GUESS, {}, np.zeros((1, k)))
-    p = pieces_of(texts, tokens)
-    if not len(p.text):
+K = len(STATES)
+STILL = np.full((K, K), (1 - STAY) / (K - 1)) + np.eye(K) * (STAY - (1 - STAY) / (K - 1))
+#: Columns of the sums. Their keys are hashes of words, or below 0: -1 the states, then the moves from each state, then the features.
+SUMS = ["held", *(f"s{s}" for s in range(K))]
+
+
+def guess() -> Model:
+    return Model(np.log(START), np.log(STILL), GUESS, np.empty(0, np.int64), np.zeros((1, K)))
+
+
+def expected(parts: Iterable[list[str | None]], model: Model) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and SUMS that ``model`` expects in ``parts`` of texts: for each word in how many pieces it is, and in how many of each state."""
+    tokens, dense = Tokens(), np.zeros((1 + K + len(FEATURES), 1 + K))
+    words = np.zeros((BUCKETS, 1 + K))
+    for texts in parts:
+        p = pieces_of(texts, tokens)
+        if not len(p.text):
+            continue
+        chance, moves = model.posteriors(p, model.numbers(tokens))
+        dense[0, 1:] += chance.sum(axis=0)
+        dense[1 : 1 + K, 1:] += moves
+        dense[1 + K :, 1:] += p.seen.T @ chance
+        some, which = np.unique(tokens.hashes()[p.word], return_inverse=True)
+        words[some, 0] += np.bincount(which, minlength=len(some))
+        for s in range(K):
+            words[some, 1 + s] += np.bincount(which, chance[p.piece, s], len(some))
+    known = np.flatnonzero(words[:, 0])
+    yield np.r_[-1 - np.arange(len(dense)), known], np.concatenate([dense, words[known]])
+
+
+def improved(model: Model, keys: np.ndarray, sums: np.ndarray) -> Model:
+    """The model that all sums give, each key once; the guess goes on counting as a prior."""
+    order = np.argsort(keys)
+    keys, sums = keys[order], sums[order]
+    words = keys >= 0
+    dense = sums[~words][::-1, 1:]
+    if not len(dense) or not dense[0].sum():
         return model
-    held = Counter(p.word.tolist())
-    names = list(tokens.words)
-    says = {names[w]: i for i, w in enumerate(sorted((w for w, n in held.items() if n >= 3), key=names.__getitem__), 1)}
-    numbers = np.fromiter((says.get(w, 0) for w in names), np.int64, len(names))
-    model = Model(model.start, model.move, GUESS, says, np.zeros((len(says) + 1, k)))
+    mass, move, seen = dense[0], dense[1 : 1 + K] + PRIOR * STILL, dense[1 + K :].T
+    held, counted = sums[words, 0], sums[words, 1:]
+    share = counted.sum(axis=1, keepdims=True) / max(counted.sum(), 1e-12)
+    weight = np.clip(np.log(np.maximum((counted + SMOOTH * share * K) / (counted.sum(axis=0) + SMOOTH * K), 1e-12) / np.maximum(share, 1e-12)), -LIMIT, LIMIT)
+    weight[:, CODE] = 0
+    guessed = (seen + PRIOR * GUESS) / (mass[:, None] + PRIOR)
+    guessed[CODE] = GUESS[CODE]  # few texts have code, and without its symbols nothing is
+    often = held >= 3
+    return Model(model.start, np.log(move / move.sum(axis=1, keepdims=True)), guessed, keys[words][often], np.concatenate([np.zeros((1, K)), weight[often]]))
+
+
+def train(texts: list[str]) -> Model:
+    """Baum-Welch on unlabelled texts, from the guess, in ``ROUNDS`` rounds."""
+    model = guess()
     for _ in range(ROUNDS):
-        chance, moves = model.posteriors(p, numbers)
-        mass = chance.sum(axis=0)
-        seen = (p.seen.T @ chance).T
-        move = moves + PRIOR * stay
-        which = numbers[p.word]
-        counted = np.stack([np.bincount(which, chance[p.piece, s], len(says) + 1) for s in range(k)], axis=1)
-        share = counted.sum(axis=1, keepdims=True) / counted.sum()
-        weight = np.clip(np.log(np.maximum((counted + SMOOTH * share * k) / (counted.sum(axis=0) + SMOOTH * k), 1e-12) / np.maximum(share, 1e-12)), -LIMIT, LIMIT)
-        weight[0] = weight[:, CODE] = 0
-        guessed = (seen + PRIOR * GUESS) / (mass[:, None] + PRIOR)
-        guessed[CODE] = GUESS[CODE]  # few texts have code, and without its symbols nothing is
-        model = Model(model.start, np.log(move / move.sum(axis=1, keepdims=True)), guessed, says, weight)
+        model = improved(model, *next(expected([texts], model)))
+    return model
+
+
+def _expected(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (part.column(0).to_pylist() for b in batches for part in slices(b, 0, rows=1000))
+        for keys, sums in expected(parts, model):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, sums.T.copy())], names=["key", *SUMS])
+
+    return run
+
+
+def train_on(documents: DataFrame) -> Model:
+    """``train`` on all rows of ``documents`` (text)."""
+    model, schema = guess(), ", ".join(["key long", *(f"{c} double" for c in SUMS)])
+    for _ in range(ROUNDS):
+        sums = documents.select("text").mapInArrow(_expected(model), schema).groupBy("key").agg(*[F.sum(c).alias(c) for c in SUMS]).toArrow()
+        model = improved(model, sums.column("key").to_numpy(), np.stack([sums.column(c).to_numpy() for c in SUMS], axis=1))
     return model
 
 
@@ -257,11 +314,8 @@ def _label(model: Model):
     return run
 
 
-def page_shares(documents: DataFrame, *, sample: int = 3000, longest: int = 20_000) -> DataFrame:
+def page_shares(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_listed (words in lists), flagged (more than half)."""
-    usable = documents.where(F.length("text").between(1, longest))
-    share = min(1.0, sample / max(usable.count(), 1))
-    some = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < math.ceil(share * (1 << 30)))
-    model = train(sorted(r["text"] for r in some.select("text").collect()))
+    model = train_on(documents)
     out = documents.select("doc_id", "text").mapInArrow(_label(model), "doc_id long, n_words long, n_listed long")
     return out.select("*", (F.col("n_listed") * 2 > F.col("n_words")).alias("flagged"))
