@@ -5,21 +5,19 @@ Two texts are almost the same if both have ``min_words`` words or more and share
 
 1. Texts with equal words are one class. A class is normalised to its elements (word, how
    often it came before) in order of their values, rare ones first: so texts with their
-   words rearranged have the same form.
-2. The form of an evaluation class is cut into passages of two elements. A word that a match
-   lacks, or one that it has besides, breaks at most one of them; a match of n words differs
-   in at most 2 * floor(n / 5) elements, and n // 2 passages are more. So every match holds
-   at least (passages - differences) of the passages unbroken, never none.
-3. Evaluation classes are dealt to shards of about ``shard`` elements. An Aho-Corasick
-   automaton holds the passages of a shard and scans the forms of all training classes;
-   where the passages found are as many as a match of these lengths must hold, and the forms
-   share as many elements, the pair is a candidate.
+   words rearranged have the same form. Its sketch holds the first elements of the form, one
+   more than a match may lack (see ``near_duplicates``).
+2. The smallest common element of a match is in both sketches. So evaluation and training
+   classes meet in the inverted lists of the elements that their sketches hold, and no match
+   is missed; there, lengths, places and parity bits of the elements behind rule most out. No
+   training class is compared with evaluation classes that share none of these elements.
+3. Long lists are cut on either side, into parts of evaluation classes with about ``shard``
+   elements and parts of training classes with about ``split``; each two are a cell.
 4. Candidates are compared word by word. Matched intervals (two elements or more that follow
-   each other in both forms), merged, give the coverage of the evaluation record.
-
-The training forms are cut into splits of about ``split`` elements, so that no task holds
-more than one shard and one split; each form goes to every shard: that suits evaluation
-sets, which are small beside a corpus.
+   each other in both forms), merged, give the coverage of the evaluation record. A word that
+   a match lacks, or one that it has besides, breaks at most one of the passages of two
+   elements; a match of n words differs in at most 2 * floor(n / 5) elements, and n // 2
+   passages are more: so no match has a coverage of 0.
 
 Null and short texts match nothing; repeated rows count once; an empty table gives an empty
 result; other columns are ignored.
@@ -27,18 +25,17 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stage import Stage
-from .batches import slices
-from .near_duplicates import Classes, Values, usable, word_bands
+from .cells import across
+from .near_duplicates import EVERY, PARITY, Classes, Lists, Values, _listed, _sketch, may_match, usable, word_bands
 
 PASSAGE = 2
 
@@ -52,65 +49,13 @@ def merged_length(intervals: list[tuple[int, int]]) -> int:
     return total
 
 
-def _forms(min_words: int, bands: dict[int, int]):
-    """(id, text) to digest, id and form, the sorted values folded to 32 bits, of each text with enough words."""
+class Sides(Lists):
+    """Inverted lists in which rows of part 1 meet rows of part -1 only."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = Values(bands)
-        for b in (part for whole in batches for part in slices(whole, 1)):
-            words = [t.split() for t in b.column(1).to_pylist()]
-            enough = pa.array([len(w) >= min_words for w in words], pa.bool_())
-            words = [w for w in words if len(w) >= min_words]
-            ends, flat = values.of(words)
-            form = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((flat ^ flat >> 32).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(map(values.digest, words), pa.binary()), b.column(0).filter(enough), form], names=["digest", "id", "form"])
-
-    return run
-
-
-def _sequences(table: pa.Table) -> list[tuple[int, ...]]:
-    """The forms of a table as tuples of unsigned numbers, which is what an automaton takes."""
-    lists = table.column("form").combine_chunks()
-    at, flat = lists.offsets.to_numpy().tolist(), lists.values.to_numpy().view(np.uint32).tolist()
-    return [tuple(flat[s:e]) for s, e in zip(at, at[1:])]
-
-
-def _scan(top: int, bottom: int):
-    """Candidates (a, b) of a shard of evaluation forms and a split of training forms."""
-
-    def run(key: tuple, shard: pa.Table, split: pa.Table) -> pa.Table:
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        if shard.num_rows and split.num_rows:
-            held = defaultdict(list)
-            forms = _sequences(shard)
-            for i, form in enumerate(forms):
-                for s in range(0, len(form) - 1, PASSAGE):
-                    held[form[s : s + PASSAGE]].append(i)
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-            owners = []
-            for passage, who in held.items():
-                automaton.add_word(passage, len(owners))
-                owners.append(np.array(who))
-            held.clear()
-            automaton.make_automaton()
-            size, sets = np.array([len(f) for f in forms]), [frozenset(f) for f in forms]
-            ids, others = shard.column("cid").to_numpy(), split.column("cid").to_numpy()
-            must: dict[int, np.ndarray] = {}
-            for j, form in enumerate(_sequences(split)):
-                n = len(form)
-                if n not in must:
-                    need = -(-np.maximum(size, n) * top // bottom)
-                    must[n] = np.where(np.minimum(size, n) >= need, size // PASSAGE - (size + n - 2 * need), n + 1)
-                hits = [owners[k] for _, k in automaton.iter(form)]
-                if hits:
-                    found = np.flatnonzero(np.bincount(np.concatenate(hits), minlength=len(size)) >= must[n])
-                    found = [i for i in found.tolist() if (len(sets[i].intersection(form)) + len(forms[i]) - len(sets[i])) * bottom >= top * max(len(forms[i]), n)]
-                    if found:
-                        a.append(ids[found])
-                        b.append(np.full(len(found), others[j]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return run
+    def long(self, rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        one, other = (np.flatnonzero(rows[4] == part) for part in (1, -1))
+        yield from self.tiles(rows, one, other)
+        yield from self.tiles(rows, other, one)
 
 
 def _covered(top: int, bottom: int, bands: dict[int, int]):
@@ -147,18 +92,25 @@ def overlapping_texts(evaluation: DataFrame, training: DataFrame, *, min_words:
     stage = Stage(evaluation.sparkSession)
     held, corpus = (usable(t).distinct() for t in (evaluation, training))
     bands, _ = word_bands(held.select("text").unionAll(corpus.select("text")))
-    ev, tr = (Classes(t, stage, _forms(min_words, bands), {"form": "array<int>"}) for t in (held, corpus))
-    total = lambda c: c.classes.agg(F.sum(F.size("form"))).first()[0] or 0
-    shards, splits = max(1, -(-total(ev) // shard)), max(1, -(-total(tr) // split))
-    block = lambda n: F.pmod(F.xxhash64("cid"), F.lit(n)).cast("int")
-    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = ev.classes.select(block(shards).alias("s"), everywhere(splits).alias("t"), "cid", "form")
-    right = tr.classes.select(everywhere(shards).alias("s"), block(splits).alias("t"), "cid", "form")
-    met = stage.put(left.groupBy("s", "t").cogroup(right.groupBy("s", "t")).applyInArrow(_scan(top, bottom), "a long, b long"), "candidates")
-
-    texts = [stage.put(c.texts_of(met.select(F.col(x).alias("cid")).distinct()), "texts") for c, x in ((ev, "a"), (tr, "b"))]
-    both = met.join(texts[0].select(F.col("cid").alias("a"), F.col("text").alias("x")), "a")
-    both = both.join(texts[1].select(F.col("cid").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    found = stage.put(both.mapInArrow(_covered(top, bottom, bands), "eval_cid long, train_cid long, coverage double"), "found")
+    columns = {"size": "int", "sketch": "array<bigint>"} | dict.fromkeys(PARITY, "bigint")
+    ev, tr = (Classes(t, stage, _sketch(min_words, top, bottom, bands), columns) for t in (held, corpus))
+    classes = ev.classes.withColumn("side", F.lit(0)).unionByName(tr.classes.withColumn("side", F.lit(1)))
+    schema = ", ".join(["key long", "cid long", "size int", "place int", *(f"{p} long" for p in PARITY)])
+    sided = classes.select((F.shiftleft("cid", 1) + F.col("side")).alias("cid"), "size", "sketch", *PARITY)  # the last bit is the side
+    side = (F.col("cid") % 2).cast("int")
+    lists = sided.mapInArrow(_listed, schema).withColumn("side", side)
+    some = sided.where(F.pmod(F.xxhash64("cid"), F.lit(EVERY)) == 0).select(F.explode("sketch").alias("key"), side.alias("side"))
+    mean = {r["side"]: r["mean"] for r in classes.groupBy("side").agg(F.avg("size").alias("mean")).collect()}
+    most = max(1, int(shard / mean.get(0, 1))), max(1, int(split / mean.get(1, 1)))
+    packed = F.shiftleft(F.col("size").cast("bigint"), 32) + F.col("place") * 4 + (1 - F.col("side")) * 2
+    lists = across(lists, "key", "cid", most, some, EVERY).select("key", "cid", *PARITY, packed.alias("packed"))
+    met = lists.repartition("key").sortWithinPartitions("key").mapInArrow(Sides(top, bottom), "a long, b long").distinct()
+    end = lambda s: F.shiftright(F.when(F.col("a") % 2 == s, F.col("a")).otherwise(F.col("b")), 1)
+    met = stage.put(met.select(end(0).alias("a"), end(1).alias("b")), "met")
+
+    texts = [stage.put(c.texts_of(met.select(F.col(x).alias("cid")).distinct(), "size", "sketch"), "texts") for c, x in ((ev, "a"), (tr, "b"))]
+    with_text = [t.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "sketch", "text")]) for t, x in zip(texts, "ab")]
+    pairs = met.join(with_text[0], "a").join(with_text[1], "b").where(may_match(top, bottom)).select("a", "b", "text_a", "text_b")
+    found = stage.put(pairs.mapInArrow(_covered(top, bottom, bands), "eval_cid long, train_cid long, coverage double"), "found")
     stage.drop(met, *texts, ev.classes, tr.classes, tr.members)
     return ev.members, found
