@@ -9,7 +9,9 @@
 3. Each field of a pair has a level: unknown, or how far both agree. What a level says is
    learned by expectation maximisation over all pairs of records: candidates by how alike they are,
    the others, which are no matches, through the counts of each level among all pairs, which follow
-   from the counts of the values. For equal places, models and makes the rarity of the value takes
+   from the counts of the values. How matches agree in the other fields is learned from those of
+   equal VIN, if there are ``SURE`` or more: chance pairs, whose fields agree together, grow as the
+   square of the records and would pass for matches. For equal places, models and makes the rarity of the value takes
    the place of its chance among the others. A pair's log-odds in bits are the sum and
    what the share of matches among all pairs is worth.
 4. Listings of one source that match each other with near certainty are one unit; units
@@ -52,6 +54,7 @@ YEARS = 2
 WRONG = 1
 EVERY = 8  # block sizes are estimated from one record in so many
 ROUNDS_EM = 15
+SURE = 1000  # expected matches of equal VIN from which the levels of a field are learned; with fewer, from all
 HEAVY = 0.0005
 
 
@@ -255,6 +258,16 @@ def _shares(counts: np.ndarray, field: str, little: float) -> np.ndarray:
     return out
 
 
+def _surest(field: str, same_vin: np.ndarray, matched: np.ndarray) -> np.ndarray:
+    """Counts of levels among the matches of equal VIN where there are enough, else among all."""
+    out = matched.copy()
+    for group in GROUPS.get(field, [tuple(range(1, LEVELS))]):
+        of = list(group)
+        if same_vin[of].sum() >= SURE:
+            out[of] = same_vin[of]
+    return out
+
+
 def _patterns(compared: DataFrame) -> DataFrame:
     """code, n: how many of the compared pairs are so alike; a code has 3 bits for each level and 4 for each rarity in whole bits."""
     code = F.lit(0).cast("bigint")
@@ -266,10 +279,10 @@ def _patterns(compared: DataFrame) -> DataFrame:
 
 
 def _matches_at(worth: dict[str, np.ndarray], prior: float):
-    """Patterns (code, n) to a row: how many matches are expected among their pairs at each level of each field."""
+    """Patterns (code, n) to a row: how many matches are expected among their pairs at each level of each field, and of these how many with equal VINs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(COMPARED), LEVELS))
+        total = np.zeros((2, len(COMPARED), LEVELS))
         for b in batches:
             code, n = b.column(0).to_numpy(), b.column(1).to_numpy()
             levels = [code >> 3 * at & 7 for at in range(len(COMPARED))]
@@ -279,8 +292,10 @@ def _matches_at(worth: dict[str, np.ndarray], prior: float):
             for at in range(len(RARE)):
                 bits += code >> 3 * len(COMPARED) + 4 * at & 15
             likely = n / (1 + 2.0 ** -np.clip(bits, -60, 60))
+            same_vin = np.where(levels[COMPARED.index("vin")] == 1, likely, 0)
             for at, level in enumerate(levels):
-                total[at] += np.bincount(level, likely, LEVELS)
+                total[0, at] += np.bincount(level, likely, LEVELS)
+                total[1, at] += np.bincount(level, same_vin, LEVELS)
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["total"])
 
     return run
@@ -309,10 +324,10 @@ def _learn(patterns: DataFrame, chance: dict[str, np.ndarray], n: int) -> tuple[
 
     for _ in range(ROUNDS_EM):
         rows = patterns.mapInArrow(_matches_at(worth(), prior), "total array<double>").collect()
-        total = np.sum([r["total"] for r in rows], axis=0).reshape(len(COMPARED), LEVELS) if rows else np.zeros((len(COMPARED), LEVELS))
-        matched = dict(zip(COMPARED, total))
-        match = {f: _shares(matched[f], f, 0.1) for f in COMPARED}
-        prior = math.log2((total[0].sum() + 0.5) / pairs)
+        total = np.sum([r["total"] for r in rows], axis=0).reshape(2, len(COMPARED), LEVELS) if rows else np.zeros((2, len(COMPARED), LEVELS))
+        matched, same_vin = (dict(zip(COMPARED, x)) for x in total)
+        match = {f: _shares(matched[f] if f == "vin" else _surest(f, same_vin[f], matched[f]), f, 0.1) for f in COMPARED}
+        prior = math.log2((matched[COMPARED[0]].sum() + 0.5) / pairs)
     return worth(), prior
 
 
